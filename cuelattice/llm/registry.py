@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import packing, token_store
+from cuelattice.llm import packing, simhash, token_store
 
-MODULES = (token_store, packing)
+MODULES = (token_store, packing, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
