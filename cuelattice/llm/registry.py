@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import line_rules, packing, simhash, token_store
+from cuelattice.llm import line_rules, packing, simhash, token_store, toxicity
 
-MODULES = (token_store, packing, line_rules, simhash)
+MODULES = (token_store, packing, line_rules, toxicity, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
