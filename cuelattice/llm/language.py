@@ -117,7 +117,8 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
                 n += np.bincount(idx, minlength=1 << BITS)
             total = sums.setdefault(lang, np.zeros(1 << BITS))
             total += n / max(1, n.sum())
-    yield pd.DataFrame({"lang": list(sums), "shares": [x.tobytes() for x in sums.values()]})
+    if sums:
+        yield pd.DataFrame({"lang": pd.Series(list(sums), dtype=object), "shares": pd.Series([x.tobytes() for x in sums.values()], dtype=object)})
 
 
 def fit(docs: DataFrame, per_language: int = 1000) -> Model:
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
-            yield pd.DataFrame({"lang": some["lang"], "m": [model.margins(t.encode()) for t in some["text"]]})
+            yield pd.DataFrame({"lang": some["lang"].astype(object), "m": [model.margins(t.encode()) for t in some["text"]]})
 
     seen = sample.mapInPandas(margins, "lang string, m array<double>").toPandas()
     x, row = np.stack(seen.m.to_numpy()), seen.lang.map({v: i for i, v in enumerate(languages)}).to_numpy()
