@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import language, line_rules, packing, simhash, token_store, toxicity
+from cuelattice.llm import decontamination, language, line_rules, packing, simhash, token_store, toxicity
 
-MODULES = (token_store, language, packing, line_rules, toxicity, simhash)
+MODULES = (token_store, decontamination, language, packing, line_rules, toxicity, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
