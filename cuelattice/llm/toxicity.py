@@ -12,7 +12,7 @@ sentences beyond chance (binomial tail, Bonferroni) are positive; words of clean
 first at random, then those nearest the margin. The margins of the sample's documents are mapped to
 probabilities by logistic regression, weighted to the share of each label among all labelled rows.
 
-Null and empty texts, and texts without a word of ORDER characters (edges included), have the least margins.
+Null and empty texts, and texts without a word of ORDER characters, edges included,, have the least margins.
 Without labels of both kinds, or without a word that marks toxicity, every text gets
 that share. Repeated label rows count as often as they stand. The scored rows keep all their columns.
 """
@@ -23,6 +23,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.llm.common import bounded_sample, free_name, remainder, staged, table
 
-ORDER, DECAY = 4, 0.5
+ORDER, DECAY = 3, 0.5
 #: Stands before and after each word, so that beginnings and ends of words count.
 EDGE = "\x02"
 #: A longer word is read as windows of this many letters, each half over the one before.
@@ -119,6 +120,38 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
     return out
 
 
+def weighted_kernels(words: list[str], letters: dict[int, int], triples: np.ndarray) -> np.ndarray:
+    """Weighted sum of each word's normalised kernels with the landmarks that ``triples`` stands for.
+
+    A subsequence's weight depends on its first and last place only, so that it is enough to carry, for each
+    letter and pair of letters, the sum of DECAY ** -first over where they occur so far.
+    """
+    size, out, alphabet = len(letters), np.zeros(len(words)), np.array(sorted(letters))
+    flat = triples.reshape(size, -1).astype(np.float32)
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    for n, rows in by_length.items():
+        for start in range(0, len(rows), 1024):
+            part = np.array(rows[start : start + 1024])
+            plain = codes([words[i] for i in part.tolist()], n, -1)
+            own = weighed((plain.T[:, None, :] == plain.T[None, :, :]).astype(np.float32))
+            place = np.minimum(np.searchsorted(alphabet, plain), size - 1)
+            seen = np.where(alphabet[place] == plain, place, -1)
+            one, two = np.zeros((len(part), size), np.float32), np.zeros((len(part), size, size), np.float32)
+            total = np.zeros(len(part), np.float32)
+            for i in range(n):
+                order = np.argsort(seen[:, i], kind="stable")
+                have, first = np.unique(seen[order, i], return_index=True)
+                for c, r in zip(have.tolist(), np.split(order, first[1:]), strict=True):
+                    if c >= 0:
+                        total[r] += DECAY ** (i + 1) * (two[r].reshape(len(r), -1) @ flat[c])
+                        two[r, c] += one[r]
+                        one[r, c] += DECAY**-i
+            out[part] = total / np.sqrt(np.maximum(own, 1e-30))
+    return out
+
+
 @dataclass
 class Model:
     """Landmarks with their weights, and the map from a margin to a probability."""
@@ -129,6 +162,7 @@ class Model:
     slopes: np.ndarray = field(default_factory=lambda: np.zeros(2))
     shift: float = 0.0
     share: float = 0.0
+    collapsed: tuple[dict[int, int], np.ndarray] | None = None
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word; -inf where the kernel has nothing to compare."""
@@ -136,9 +170,25 @@ class Model:
         out = np.full(len(words), -np.inf)
         if parts and self.marks:
             at = np.array([i for i, _ in parts])
-            np.maximum.at(out, at, kernel([p for _, p in parts], self.marks) @ self.weights + self.bias)
+            if self.collapsed is None:
+                self.collapsed = self.triples()
+            np.maximum.at(out, at, weighted_kernels([p for _, p in parts], *self.collapsed) + self.bias)
         return out
 
+    def triples(self) -> tuple[dict[int, int], np.ndarray]:
+        """The landmarks' letters, and the weight of each subsequence of three (last, middle, first) of them.
+
+        A word's kernels with all landmarks, weighted and summed, are one sum over its subsequences.
+        """
+        letters = {c: i for i, c in enumerate(sorted({ord(c) for m in self.marks for c in m}))}
+        out = np.zeros((len(letters),) * 3)
+        for mark, weight in zip(self.marks, self.weights, strict=True):
+            at = [letters[ord(c)] for c in mark]
+            own = weighed((np.array(at)[:, None] == np.array(at)[None, :])[:, :, None].astype(np.float64))[0]
+            for i, j, k in combinations(range(len(at)), 3):
+                out[at[k], at[j], at[i]] += weight * DECAY ** (k - i + 1) / np.sqrt(own)
+        return letters, out
+
     def text_margins(self, texts: list[str]) -> np.ndarray:
         """Margins of each text's two worst words; each distinct word is weighed once."""
         known = _KNOWN.setdefault(self.key(), {})

@@ -18,11 +18,19 @@ def brute(a, b):
 
 
 def test_kernel():
-    words, marks = ["stupid", "stxupid", "abcd", "abc", "stu"], ["stupid", "abcde"]
+    words, marks = ["stupid", "stxupid", "abcd", "abc", "st"], ["stupid", "abcde"]
     want = [[brute(w, m) / np.sqrt((brute(w, w) or 1) * brute(m, m)) for m in marks] for w in words]
     assert np.allclose(tx.kernel(words, marks), want, atol=1e-5)
 
 
+def test_weighted_kernels_are_the_machine_of_the_kernels():
+    rng = np.random.default_rng(0)
+    marks = [tx.edged(w) for w in ("stupid", "moron", "achlich", "réeux")]
+    model = tx.Model(marks, rng.normal(size=4), 0.3)
+    words = [tx.edged("".join(rng.choice(list("stupidmornacléx"), rng.integers(1, 12)))) for _ in range(300)] + ["zzzz", "abc"]
+    assert np.allclose(tx.weighted_kernels(words, *model.triples()) + 0.3, tx.kernel(words, marks) @ model.weights + 0.3, atol=1e-4)
+
+
 def test_words():
     assert {"idiot", "you"} <= {tx.bare(w) for w in tx.raw_words("You, i d i o t!")}
     assert tx.bare("i.d-1ot!") == "idiot" and tx.bare("1234") == "" and tx.bare("###") == ""
