@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import decontamination, language, line_rules, packing, simhash, token_counts, token_store, toxicity
+from cuelattice.llm import decontamination, language, line_rules, packing, quality, simhash, token_counts, token_store, toxicity
 
-MODULES = (token_store, decontamination, language, packing, line_rules, toxicity, simhash, token_counts)
+MODULES = (token_store, decontamination, language, packing, quality, line_rules, toxicity, simhash, token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
