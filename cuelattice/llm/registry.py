@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.llm import decontamination, language, line_rules, packing, quality, simhash, token_counts, token_store, toxicity
+import corpus_pipeline
+from cuelattice.llm import decontamination, language, line_rules, lm_score, packing, quality, simhash, token_counts, token_store, toxicity
 
-MODULES = (token_store, decontamination, language, packing, quality, line_rules, toxicity, simhash, token_counts)
+MODULES = (token_store, decontamination, lm_score, language, packing, quality, line_rules, toxicity, simhash, token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import column, sliced, staged, table, text_bytes
+from cuelattice.llm.common import column, free_name, sliced, staged, table, text_bytes
 from cuelattice.llm.components import components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -194,17 +194,39 @@ def link_edges(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     return rows.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(lambda it: compared(it, radius), "a long, b long")
 
 
+def fingerprint_components(distinct: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(fp, least, component_id) of distinct fingerprints (fp, least): the component's least of ``least``."""
+    found = components(link_edges(distinct.select("fp"), radius, blocks))
+    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    ids = staged(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
+    return staged(named.join(ids, "component").select("fp", "least", "component_id"), "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, blocks: int = 5) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable) of each document (doc_id, text)."""
     prints = staged(fingerprints(docs, shingle), "fingerprints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    found = components(link_edges(distinct.select("fp"), radius, blocks))
-    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = staged(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
-    by_fp = staged(named.select("fp", "component").join(ids, "component").select("fp", "component_id"), "fingerprint-components")
+    by_fp = fingerprint_components(distinct, radius, blocks).select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 3, blocks: int = 5) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with one row of each component: that of its least id, null ids last."""
+    row, fp = free_name(docs, "row"), free_name(docs, "fp")
+
+    @F.arrow_udf("long")
+    def printed(texts: pa.Array) -> pa.Array:
+        fps = np.array([fingerprint(hashes(t, shingle, 42)) for t in text_bytes(texts)], np.uint64)
+        return pa.array(fps.view(np.int64))
+
+    rows = staged(docs.withColumns({fp: printed(F.col("text")), row: F.monotonically_increasing_id()}), "numbered-documents")
+    mine = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    distinct = staged(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(mine).alias("least")), "distinct-fingerprints")
+    kept = fingerprint_components(distinct, radius, blocks).where("least = component_id").select(F.col("least.row").alias("kept_row"))
+    gone = rows.select(row).join(kept, F.col(row) == F.col("kept_row"), "left_anti").withColumnRenamed(row, "gone_row")
+    return rows.join(staged(gone, "near-duplicates"), F.col(row) == F.col("gone_row"), "left_anti").drop(row, fp)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
