@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelattice.queries import interval_queries
+from cuelattice.queries import interval_queries, text_queries
 
-MODULES = (interval_queries,)
+MODULES = (interval_queries, text_queries)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
