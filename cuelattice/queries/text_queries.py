@@ -134,8 +134,7 @@ SELECT event_id, {_CLOCK} || ',' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') AS
     "timestamp_parse": f"""WITH e AS (SELECT event_id, {_MS} AS ms FROM events), r AS (SELECT *, {_CLOCK} || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') AS vtt FROM e),
 s AS (SELECT *, substr(vtt, 4, 9) AS sh FROM r)
 SELECT event_id, ms AS from_srt, ms // 10 * 10 AS from_ass,
-  CASE WHEN regexp_matches(sh, '^[0-9]{{2}}:[0-9]{{2}}\\.[0-9]{{3}}$') THEN CAST(substr(sh, 1, 2) AS BIGINT) * 60000 + CAST(substr(sh, 4, 2) AS BIGINT) * 1000 + CAST(substr(sh, 7, 3) AS BIGINT)
-       WHEN regexp_matches(sh, '^[0-9]?:[0-9]{{2}}:[0-9]{{2}}\\.[0-9]{{2}}$') THEN CAST(substr(sh, 1, 1) AS BIGINT) * 3600000 + CAST(substr(sh, 3, 2) AS BIGINT) * 60000 + CAST(substr(sh, 6, 2) AS BIGINT) * 1000 + CAST(substr(sh, 9, 2) AS BIGINT) * 10 END AS short,
+  CASE WHEN regexp_matches(sh, '^[0-9]{{2}}:[0-9]{{2}}\\.[0-9]{{3}}$') THEN CAST(substr(sh, 1, 2) AS BIGINT) * 60000 + CAST(substr(sh, 4, 2) AS BIGINT) * 1000 + CAST(substr(sh, 7, 3) AS BIGINT) END AS short,
   CAST(NULL AS BIGINT) AS bad FROM s""",
     "severe_repetition": f"""WITH w AS (SELECT doc_id, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) AS i FROM documents),
 r AS (SELECT doc_id, w, i - row_number() OVER (PARTITION BY doc_id, w ORDER BY i) AS island FROM w),
