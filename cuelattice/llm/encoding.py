@@ -1,9 +1,9 @@
 """Encoding whole texts with a public tokenizer, each distinct pre-token once per worker.
 
-A byte-pair tokenizer works on pre-tokens, and its ids for a text are those of its pre-tokens in order.
-Texts are therefore cut only where a pre-token surely begins, pieces whose ids are known are looked up, and
-the library's model encodes the others. A piece with any character outside the plain ranges below goes
-through the whole tokenizer.
+A byte-pair tokenizer works on pre-tokens, and its ids for a text are those of its pre-tokens in order. Texts
+of plain characters (the ranges below) are cut into their pre-tokens by the tokenizer's own rule, those whose
+ids are known are looked up, and the library's model encodes the others. Other texts are cut where a
+pre-token surely begins, and pieces with any other character go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -22,12 +22,17 @@ LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 PUNCT = r"!-&(-/:-@\[-`{-~"  # ASCII without the apostrophe, which begins contractions
 #: A piece of plain characters, with at most one space before it and single line ends inside.
 PLAIN = re.compile(rf" ?[{LETTER}{PUNCT}0-9]+(?:\n[{LETTER}{PUNCT}0-9]+)*")
-STARTS = re.compile(rf" ?[{LETTER}]+| ?[0-9]+| ?[{PUNCT}]+|\n")
+STARTS = re.compile(rf" ?[{LETTER}]+| ?[0-9]+| ?[{PUNCT}]+|\n| ")
 ENDS = re.compile(rf"[{LETTER}]+|[0-9]|[{PUNCT}]+")
-CROWDED = re.compile(r"\s ")
+#: Texts of plain characters only, and places where white space stands beside white space.
+PLAIN_TEXT = re.compile(rf"[{LETTER}{PUNCT}0-9 \n]*")
+CROWDED = re.compile(r"\s\s")
+SPACED = re.compile(r"\s ")
 GAP = re.compile(r"(?<=\S)(?= \S)")
+#: Stands before a piece that goes through the whole tokenizer; no pre-token begins with it.
+WHOLE = "\0"
 #: Entries that a worker keeps; the store is emptied beyond it, which only costs time.
-KEPT = 500_000
+KEPT = 700_000
 
 
 class Layered(dict):
@@ -52,53 +57,51 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.word_ends = "a</w>" in vocab
         self.spelled = [int(i).to_bytes(self.dtype.itemsize, "little") for i in range(max(vocab.values()) + 1)]
+        self.find = (ENDS if self.word_ends else STARTS).findall
         self.kept = Layered()
-        self.pieces: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def keys(self, text: str) -> list[str]:
+        """What the text is made of: its pre-tokens, and after a mark the pieces that only the tokenizer can read."""
+        if PLAIN_TEXT.fullmatch(text) and (self.word_ends or not CROWDED.search(text)):
+            return self.find(text.lower() if self.word_ends else text)
+        out: list[str] = []
+        for piece in self.cut(text):
+            if PLAIN.fullmatch(piece):
+                out += self.find(piece.lower() if self.word_ends else piece)
+            elif piece:
+                out.append(WHOLE + piece)
+        return out
+
     def cut(self, text: str) -> list[str]:
         """Pieces that begin where a pre-token begins."""
         if self.word_ends:
             return text.replace("\n", " ").split(" ")
-        if CROWDED.search(text):
+        if SPACED.search(text):
             return GAP.split(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    def learn(self, words: set[str]) -> None:
-        """Puts the ids of ``words`` into the store."""
-        find = (ENDS if self.word_ends else STARTS).findall
-        known, pieces, plain, lower = self.pretokens, self.pieces, PLAIN.fullmatch, self.word_ends
-        for w in words:
-            if not plain(w):
-                pieces[w] = self.ids(w)
-                continue
-            out = b""
-            for p in find(w.lower() if lower else w):
-                if (v := known.get(p)) is None:
-                    v = known[p] = self.pretoken_ids(p)
-                out += v
-            pieces[w] = out
-
     def pretoken_ids(self, pretoken: str) -> bytes:
         """The model's ids of one pre-token, given in the byte alphabet of the vocabulary."""
         spelt = pretoken.encode().decode("latin-1").translate(BYTE_ALPHABET)
         return b"".join([self.spelled[t.id] for t in self.tokenizer.model.tokenize(spelt)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Pieces met in two calls are kept longest."""
-        cut = [self.cut(t) for t in texts]
-        met = set().union(*cut) - self.kept.keys() if cut else set()
-        again = met & self.pieces.keys()
-        self.learn(met - again)
-        self.kept.update({p: self.pieces.pop(p) for p in again})
-        self.kept.others = self.pieces
+        """The ids of each text. Keys met in two calls are kept longest."""
+        found = [self.keys(t) for t in texts]
+        met = set().union(*found) - self.kept.keys() if found else set()
+        again = met & self.recent.keys()
+        for key in met - again:
+            self.recent[key] = self.ids(key[1:]) if key[0] == WHOLE else self.pretoken_ids(key)
+        self.kept.update({key: self.recent.pop(key) for key in again})
+        self.kept.others = self.recent
         get = self.kept.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in cut]
-        for store in (self.kept, self.pieces, self.pretokens):
+        out = [b"".join(map(get, keys)) for keys in found]
+        for store in (self.kept, self.recent):
             if len(store) > KEPT:
                 store.clear()
         return out
