@@ -93,15 +93,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Keys met in two calls are kept longest."""
         found = [self.keys(t) for t in texts]
-        met = set().union(*found) - self.kept.keys() if found else set()
-        again = met & self.recent.keys()
-        for key in met - again:
-            self.recent[key] = self.ids(key[1:]) if key[0] == WHOLE else self.pretoken_ids(key)
-        self.kept.update({key: self.recent.pop(key) for key in again})
-        self.kept.others = self.recent
-        get = self.kept.__getitem__
+        kept, recent = self.kept, self.recent
+        met = [key for key in set().union(*found) if key not in kept]
+        again = [key for key in met if key in recent]
+        for key in set(met).difference(recent):
+            recent[key] = self.ids(key[1:]) if key[0] == WHOLE else self.pretoken_ids(key)
+        kept.update([(key, recent.pop(key)) for key in again])
+        kept.others = recent
+        get = kept.__getitem__
         out = [b"".join(map(get, keys)) for keys in found]
-        for store in (self.kept, self.recent):
+        for store in (kept, recent):
             if len(store) > KEPT:
                 store.clear()
         return out

@@ -86,7 +86,7 @@ def blocks(batches: Iterator[pa.RecordBatch], modulus: int, held: int, left_out:
             words, ids, roles, lengths, tokens = open_.setdefault(apart, ({END: 0}, [], [], [], []))
             split = text.lower().split()
             split.append(END)
-            new = set(split) - words.keys()
+            new = set(split).difference(words)
             words.update(zip(new, range(len(words), len(words) + len(new)), strict=True))
             ids.append(doc_id)
             roles.append(role)

@@ -82,7 +82,7 @@ class Unigram:
 
     def count(self, texts: list[bytes]) -> list[dict[str, float]]:
         split = [t.split() for t in texts]
-        fresh = set().union(*split) - self.known.keys() if split else set()
+        fresh = set().union(*split).difference(self.known)
         self.segment_bytes(fresh)
         get, out = self.known.__getitem__, []
         for words in split:

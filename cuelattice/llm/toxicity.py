@@ -193,7 +193,7 @@ class Model:
         """Margins of each text's two worst words; each distinct word is weighed once."""
         known = _KNOWN.setdefault(self.key(), {})
         sets = [raw_words(t) for t in texts]
-        fresh = set().union(*sets) - known.keys() if sets else set()
+        fresh = set().union(*sets).difference(known)
         plain = {w: bare(w) for w in fresh}
         distinct = sorted(set(plain.values()) - {""})
         margin = dict(zip(distinct, np.clip(self.margins(distinct), -RANGE, RANGE).tolist(), strict=True))
