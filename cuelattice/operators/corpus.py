@@ -108,7 +108,7 @@ def best_diagonal(left: DataFrame, right: DataFrame, keys: Sequence[str], token:
     """
     n_left = left.groupBy(*keys).agg((F.max(position) + 1).alias("n_left"))
     pairs = left.select(*keys, token, F.col(position).alias("p")).join(right.select(*keys, token, F.col(position).alias("q")), [*keys, token])
-    shifted = pairs.join(n_left, list(keys)).select(*keys, (F.col("n_left") - F.col("p") + F.col("q")).alias("shift"))
+    shifted = pairs.join(n_left, list(keys)).select(*keys, (F.col("n_left") - F.col("p") + F.col("q")).cast("long").alias("shift"))
     scored = shifted.groupBy(*keys, "shift").agg(F.count(F.lit(1)).alias("matches")).where(F.col("matches") >= least)
     score = F.round(F.col("matches") / F.col("shift") + F.col("shift") / 10000, 9)
     best = F.max(F.struct(score.alias("score"), (-F.col("shift")).alias("s"), "matches"))
