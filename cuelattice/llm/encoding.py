@@ -32,7 +32,7 @@ GAP = re.compile(r"(?<=\S)(?= \S)")
 #: Stands before a piece that goes through the whole tokenizer; no pre-token begins with it.
 WHOLE = "\0"
 #: Entries that a worker keeps; the store is emptied beyond it, which only costs time.
-KEPT = 700_000
+KEPT = 500_000
 
 
 class Layered(dict):

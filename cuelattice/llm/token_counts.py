@@ -28,7 +28,7 @@ from cuelattice.llm.common import table
 
 MARK = "▁"
 #: Segmentations that a worker keeps between batches.
-KEPT = 400_000
+KEPT = 250_000
 COUNTED = "struct<n_pretokens:long,n_tokens:long,log_prob:double>"
 
 

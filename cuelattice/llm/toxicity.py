@@ -47,7 +47,7 @@ SENTENCE = re.compile(r"[.!?\n]+")
 #: Margins are held to this range.
 RANGE = 2.0
 #: Words whose margins a worker keeps.
-KEPT = 400_000
+KEPT = 200_000
 
 
 def bare(word: str) -> str:
@@ -191,6 +191,8 @@ class Model:
 
     def text_margins(self, texts: list[str]) -> np.ndarray:
         """Margins of each text's two worst words; each distinct word is weighed once."""
+        if self.key() not in _KNOWN:
+            _KNOWN.clear()  # a worker keeps the margins of one model
         known = _KNOWN.setdefault(self.key(), {})
         sets = [raw_words(t) for t in texts]
         fresh = set().union(*sets).difference(known)
