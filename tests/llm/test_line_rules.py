@@ -27,3 +27,12 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert all(got[i].kept == (i < 5 or i >= 30) for i in range(50))
     assert all(got[i].lost_words == (102 if i < 30 else 0) for i in range(50))
     assert got[0].clean_text == own(0) + "\n" + own(100) and got[40].clean_text == own(40) + "\n"
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    common = "shared line " + " ".join(f"c{j}" for j in range(100))
+    own = "concat_ws(' ', transform(sequence(1, 60), j -> concat('w', id, 'x', j)))"
+    lines = f"concat({own}, if(id < 60, '\n{common}', ''), if(id < 20, '\nrare line here', ''))"
+    df = spark.range(0, 25_000, 1, 8).selectExpr("id AS doc_id", f"{lines} AS text", "'en' AS lang", "'h' AS source", "0L AS n_chars")
+    got = {r.doc_id: r for r in line_rules.judge(df).where("doc_id < 100").collect()}
+    assert all(got[i].lost_words == (102 if i < 60 else 0) and got[i].kept == (i >= 60) for i in range(100))
