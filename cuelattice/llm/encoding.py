@@ -3,7 +3,8 @@
 A byte-pair tokenizer works on pre-tokens, and its ids for a text are those of its pre-tokens in order. Texts
 of plain characters (the ranges below) are cut into their pre-tokens by the tokenizer's own rule, those whose
 ids are known are looked up, and the library's model encodes the others. Other texts are cut where a
-pre-token surely begins, and pieces with any other character go through the whole tokenizer.
+pre-token surely begins, and pieces with any other character go through the whole tokenizer, as does every
+text that spells an added token of the file.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.word_ends = "a</w>" in vocab
@@ -92,16 +94,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Keys met in two calls are kept longest."""
-        found = [self.keys(t) for t in texts]
+        found = [None if self.added.search(t) else self.keys(t) for t in texts]
         kept, recent = self.kept, self.recent
-        met = [key for key in set().union(*found) if key not in kept]
+        met = [key for key in set().union(*filter(None, found)) if key not in kept]
         again = [key for key in met if key in recent]
         for key in set(met).difference(recent):
             recent[key] = self.ids(key[1:]) if key[0] == WHOLE else self.pretoken_ids(key)
         kept.update([(key, recent.pop(key)) for key in again])
         kept.others = recent
         get = kept.__getitem__
-        out = [b"".join(map(get, keys)) for keys in found]
+        out = [self.ids(t) if keys is None else b"".join(map(get, keys)) for t, keys in zip(texts, found, strict=True)]
         for store in (kept, recent):
             if len(store) > KEPT:
                 store.clear()

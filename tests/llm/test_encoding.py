@@ -29,6 +29,17 @@ def test_pieces_give_the_ids_of_the_whole_text():
             assert np.frombuffer(g, "<u2").tolist() == want[:-1].tolist(), repr(t)
 
 
+def test_added_tokens_have_their_own_ids():
+    from tokenizers import Tokenizer
+
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|startoftext|>B  c\n<|endoftext|>", "<|endoftext|" + ">" * 3 + " É日本", "<|ENDOFTEXT|>", "plain words", ""]
+    for path in (LOWER, BYTES):
+        library = Tokenizer.from_file(path)
+        got = [np.frombuffer(x, "<u2").tolist() for x in Encoder(path).encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [505, 220, 50256, 734]
+
+
 def test_store_round_trip(spark, tmp_path):
     df = table(spark, SF, "documents").limit(60).unionByName(odd_docs(spark).drop("Score", "held_out"))
     path = token_store.write_store(df, str(tmp_path / "store"), LOWER)
