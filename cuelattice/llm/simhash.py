@@ -177,7 +177,11 @@ def candidate_rows(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1)))
             at += width
         keys.append(key)
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return dealt_rows(fps.select("fp", F.explode(F.array(*keys)).alias("key")))
+
+
+def dealt_rows(rows: DataFrame) -> DataFrame:
+    """(key, low, high, side, fp) of rows (fp, key), large keys as pairs of slices."""
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE)
     dealt = rows.join(staged(large, "large-keys"), "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / SLICE), F.lit(1)).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -188,9 +192,17 @@ def candidate_rows(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
 
 def link_edges(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that join what links join."""
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return compared_rows(candidate_rows(fps, radius, blocks), radius)
+
+
+def link_edges_by(keys: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between the fingerprints that share a key of ``keys`` (fp, key), as ``link_edges``."""
+    return compared_rows(dealt_rows(keys), radius)
+
+
+def compared_rows(rows: DataFrame, radius: int) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = ["key", "low", "high"]
-    rows = candidate_rows(fps, radius, blocks)
     return rows.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(lambda it: compared(it, radius), "a long, b long")
 
 
