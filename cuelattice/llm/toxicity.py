@@ -1,20 +1,27 @@
-"""Toxicity by a subsequence string kernel with Nyström landmarks and a linear support vector machine.
+"""Toxicity by a subsequence string kernel with Nyström landmarks and a linear support vector machine on sentences.
 
 The kernel of two words sums over their common subsequences of ``ORDER`` letters, each weighted by
 ``DECAY`` to the letters it spans, so a word keeps most of its kernel with an insult when letters are left
-out, put in or written apart. Landmark words span the feature space (Nyström), the machine is fitted there,
-and a text is judged by the margins of its two worst words.
-
-Training reads whole texts of a bounded sample of labelled documents (``per_class`` of either label at
-most, the first in the order of a hash of their ids). Each distinct sentence has the label of its documents,
-clean if one is, and is a bag of words, so that copies of a document count once. Words that mark toxic
-sentences beyond chance (binomial tail, Bonferroni) are positive; words of clean sentences are negative,
-first at random, then those nearest the margin. The margins of the sample's documents are mapped to
-probabilities by logistic regression, weighted to the share of each label among all labelled rows.
-
-Null and empty texts, and texts without a word of ORDER characters, edges included,, have the least margins.
-Without labels of both kinds, or without a word that marks toxicity, every text gets
-that share. Repeated label rows count as often as they stand. The scored rows keep all their columns.
+out, put in or written apart. Landmarks span the feature space (Nyström): windows of the words that mark toxic
+sentences beyond chance, no two of them alike.
+
+The machine is trained on labelled sentences. A sentence has the label of its documents, clean if one is, and
+its features are the kernels of its worst word with the landmarks. Which word is worst depends on the machine, so
+the two are found in turn, ``rounds`` times: all clean sentences are negative; of a toxic document the
+sentences with a margin over 0 are positive, or else its worst one with a margin over -0.5, since the rest of it may
+well be clean. A text is judged by
+the margins of its two worst words, so that the first is the margin of its worst sentence. These margins are
+mapped to probabilities by logistic regression, weighted to the share of each label among all labelled rows.
+
+Training reads whole texts of a bounded sample of labelled documents (``per_class`` of either label at most, the
+first in the order of a hash of their ids), every sentence of them and every word of these. The machine's Newton
+steps sum over the sentences where they are; the driver gets sums, landmarks and the sample's document margins.
+
+Null and empty texts, and texts without a word of ORDER letters, edges included, have the least margins. Very
+long texts and words are read whole; a long word is as bad as its worst window. Of words with equal margins the
+first in the alphabet is a sentence's worst. Without labels of both kinds, or without a word that marks toxicity,
+every text gets that share. Repeated label rows count as often as they stand. The scored rows keep all their
+columns; a new column whose name is taken gets underscores before it.
 """
 
 from __future__ import annotations
@@ -73,10 +80,6 @@ def windows(word: str) -> list[str]:
     return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
-def edged(word: str) -> str:
-    return (EDGE + word + EDGE)[:LONGEST]
-
-
 def codes(words: list[str], width: int, pad: int) -> np.ndarray:
     out = np.full((len(words), width), pad, np.int32)
     for i, w in enumerate(words):
@@ -166,15 +169,26 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word; -inf where the kernel has nothing to compare."""
-        parts = [(i, p) for i, w in enumerate(words) for p in windows(w) if len(p) >= ORDER]
         out = np.full(len(words), -np.inf)
-        if parts and self.marks:
-            at = np.array([i for i, _ in parts])
-            if self.collapsed is None:
-                self.collapsed = self.triples()
-            np.maximum.at(out, at, weighted_kernels([p for _, p in parts], *self.collapsed) + self.bias)
+        parts = [(i, p) for i, w in enumerate(words) for p in windows(w) if len(p) >= ORDER]
+        np.maximum.at(out, [i for i, _ in parts], self.window_margins([p for _, p in parts]))
         return out
 
+    def window_margins(self, parts: list[str]) -> np.ndarray:
+        if not parts or not self.marks:
+            return np.full(len(parts), -np.inf)
+        if self.collapsed is None:
+            self.collapsed = self.triples()
+        return weighted_kernels(parts, *self.collapsed) + self.bias
+
+    def worst(self, sentences: list[list[str]]) -> list[tuple[float, str]]:
+        """The worst of each sentence's windows with its margin; an empty one where there is none."""
+        parts = sorted({p for s in sentences for p in s if len(p) >= ORDER})
+        known = dict(zip(parts, self.window_margins(parts).tolist(), strict=True))
+        rank = lambda p: (-known[p], p)
+        first = [min((p for p in s if p in known), key=rank, default="") for s in sentences]
+        return [(known.get(p, -np.inf), p) for p in first]
+
     def triples(self) -> tuple[dict[int, int], np.ndarray]:
         """The landmarks' letters, and the weight of each subsequence of three (last, middle, first) of them.
 
@@ -221,19 +235,33 @@ class Model:
 _KNOWN: dict[tuple[object, ...], dict[str, float]] = {}
 
 
-def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
-    """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin; last entry: bias."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-8
-    for _ in range(steps):
-        inside = y * (x @ w) < 1
-        xi, yi, c = x[inside], y[inside], weight[inside]
-        new = np.linalg.solve((xi * c[:, None]).T @ xi + np.diag(penalty), (xi * c[:, None]).T @ yi)
-        if np.allclose(new, w, atol=1e-6):
+def machine(rows: DataFrame, start: np.ndarray, ridge: float = 1e-5, steps: int = 25) -> np.ndarray:
+    """Linear machine with squared hinge loss on ``rows`` (y, n, x), both signs weighted alike; last entry: bias.
+
+    Newton steps on the rows inside the margin, whose sums each task makes of its own rows.
+    """
+    totals = {r.y: float(r.n) for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    size, w = len(start), start
+    penalty = np.append(np.full(size - 1, ridge), 1e-8)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        square, side = np.zeros((size, size)), np.zeros(size)
+        for some in batches:
+            if len(some):
+                x = np.concatenate([np.stack(some["x"].to_numpy()), np.ones((len(some), 1))], axis=1)
+                y, c = some["y"].to_numpy(float), some["n"].to_numpy(float) / some["y"].map(totals).to_numpy(float)
+                inside = y * (x @ w) < 1
+                weighed = x[inside] * c[inside][:, None]
+                square, side = square + weighed.T @ x[inside], side + weighed.T @ y[inside]
+        yield pd.DataFrame({"square": [square.ravel().tolist()], "side": [side.tolist()]})
+
+    for step in range(steps):
+        found = rows.mapInPandas(sums, "square array<double>, side array<double>").collect()  # a small matrix a task
+        square = sum((np.array(r.square) for r in found), np.zeros(size * size)).reshape(size, size)
+        new = np.linalg.solve(square + np.diag(penalty), sum((np.array(r.side) for r in found), np.zeros(size)))
+        if np.allclose(new, w, atol=1e-4):
             break
-        w = (w + new) / 2 if _ > 10 else new
+        w = (w + new) / 2 if step > 8 else new
     return w
 
 
@@ -258,13 +286,6 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return w[:-1], float(w[-1])
 
 
-def tail(k: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
-    """Upper bound (Chernoff) of the chance of k or more of n at ``rate``."""
-    p = np.clip(k / n, 1e-12, 1 - 1e-12)
-    divergence = p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate))
-    return np.where(p > rate, np.exp(-n * divergence), 1.0)
-
-
 def landmarks(words: list[str], count: int) -> list[str]:
     """The first word, then again and again the one whose kernel with those taken is least."""
     words = [w for w in words if len(w) >= ORDER]
@@ -281,55 +302,68 @@ def landmarks(words: list[str], count: int) -> list[str]:
 
 
 def sentences(sample: DataFrame) -> DataFrame:
-    """(y, sentence, words) of ``sample`` (y, text): a hash and the distinct bare words of each sentence."""
+    """(y, doc, sentence, words) of ``sample`` (y, doc, text): a hash and the distinct windows of each sentence's words."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for y, text in zip(rows.y, rows.text, strict=True):
-                for s in {x.strip().lower() for x in SENTENCE.split(text or "")} - {""}:
-                    out.append((y, xxhash.xxh64_intdigest(s.encode()) >> 1, sorted({b for w in raw_words(s) if (b := bare(w))})))
-            yield pd.DataFrame(out, columns=["y", "sentence", "words"])
+            for y, doc, text in zip(rows.y, rows.doc, rows.text, strict=True):
+                found = sorted({x.strip().lower() for x in SENTENCE.split(text or "")} - {""})
+                words = [sorted({p for w in raw_words(s) if (b := bare(w)) for p in windows(b)}) for s in found]
+                hashes = [xxhash.xxh64_intdigest(s.encode()) >> 1 for s in found]
+                yield pd.DataFrame({"y": y, "doc": doc, "sentence": hashes, "words": words})
+
+    return sample.mapInPandas(split, "y int, doc long, sentence long, words array<string>")
+
+
+def marking(bags: DataFrame, clean: int, toxic: int) -> list[str]:
+    """Windows of words that mark toxic sentences beyond chance, in the order of their number.
+
+    A window does if ten times the share of its sentences are toxic than of all, three at least, and the chance of
+    that (Chernoff's bound, times the number of windows that occur twice) is under a tenth.
+    """
+    words = (
+        bags.select("y", F.explode("words").alias("word")).groupBy("word")
+        .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+        .where((F.length("word") > ORDER) & (F.col("toxic") + F.col("clean") > 1))
+    )
+    words = staged(words, "toxicity-words")
+    rate = toxic / (clean + toxic)
+    n, p = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    divergence = p * F.log(p / rate) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - rate))).otherwise(0)
+    chance = F.log(F.lit(float(max(1, words.count())))) - n * divergence
+    far = 9 * rate / (1 - rate)
+    rare = (F.col("toxic") >= 3) & (F.col("toxic") > far * F.col("clean")) & (p > rate) & (chance < F.log(F.lit(0.1)))
+    return [r.word for r in words.where(rare).orderBy(F.desc("toxic"), "word").select("word").collect()]
 
-    return sample.mapInPandas(split, "y int, sentence long, words array<string>")
 
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000, count: int = 64, rounds: int = 3) -> Model:
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id and ``label``, 0 or 1).
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000, count: int = 32, negatives: int = 3000) -> Model:
-    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id and ``label``, 0 or 1)."""
+    ``per_class``: labelled documents of either label that are read at most; ``count``: landmarks at most;
+    ``rounds``: how often worst words and machine are found in turn.
+    """
     pairs = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y")).where("label_id IS NOT NULL AND y IN (0, 1)")
     total = {r.y: r.n for r in pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = total.get(1, 0) / max(1, sum(total.values()))
     if len(total) < 2:
         return Model(share=share)
     chosen = bounded_sample(pairs, "label_id", F.col("y") == 1, per_class).union(bounded_sample(pairs, "label_id", F.col("y") == 0, per_class))
-    sample = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("y", "text"), "toxicity-sample")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # at most 2 * per_class rows
+    sample = staged(met.select("y", F.monotonically_increasing_id().alias("doc"), "text"), "toxicity-sample")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
-        return Model(share=share)
-    bags = staged(sentences(sample).groupBy("sentence").agg(F.min("y").alias("y"), F.first("words").alias("words")), "toxicity-sentences")
+    bags = staged(sentences(sample).groupBy("sentence").agg(F.min("y").alias("y"), F.min("doc").alias("doc"), F.first("words").alias("words")), "toxicity-sentences")
     of = {r.y: r.n for r in bags.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(of) < 2:
-        return Model(share=share)
-    words = staged(
-        bags.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")),
-        "toxicity-words",
-    )
-    rate = of[1] / (of[0] + of[1])
-    far = 9 * rate / (1 - rate)
-    long_enough = F.length("word") >= ORDER - 1
-    marked = words.where(long_enough & (F.col("toxic") >= 3) & (F.col("toxic") > far * F.col("clean"))).orderBy(F.desc("toxic"), "word").limit(4000).toPandas()
-    chance = tail(marked.toxic.to_numpy(float), (marked.toxic + marked.clean).to_numpy(float), rate)
-    positive = [edged(w) for w in marked[chance * max(1, words.where("toxic + clean > 1").count()) < 0.1].word.head(400)]
-    if not positive:
+    marks = landmarks(marking(bags, of[0], of[1]), count) if len(sizes) == len(of) == 2 else []
+    if not marks:
         return Model(share=share)
-    clean = words.where(long_enough & (F.col("clean") > 0) & (F.col("toxic") <= far * F.col("clean")))
-    negative = {r.word for r in clean.orderBy(F.xxhash64("word")).limit(negatives).collect()}
-    model = Model(marks=landmarks(positive, count), share=share)
-    for last in (False, False, True):
-        model = trained(model, positive, [edged(w) for w in sorted(negative)])
-        if not last:
-            near = clean.select("word", word_margin(model)(F.col("word")).alias("m")).orderBy(F.desc("m"), "word").limit(negatives)
-            negative |= {r.word for r in near.collect()}
+    gram = kernel(marks, marks).astype(float)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    root = vectors / np.sqrt(np.maximum(values, 1e-3))
+    w = np.append(root.T @ np.ones(len(marks)), -0.5)  # one at each landmark, before there is a machine
+    model = Model(marks, root @ w[:-1], float(w[-1]), share=share)
+    for _ in range(rounds):
+        w = machine(features(bags, model, root), w)
+        model = Model(marks, root @ w[:-1], float(w[-1]), share=share)
     seen = sample.select("y", text_margins(model)(F.col("text")).alias("m")).toPandas()
     y = seen.y.to_numpy(float)
     weight = np.where(y == 1, share / sizes[1], (1 - share) / sizes[0]) * len(y)
@@ -337,24 +371,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     return model
 
 
-def trained(model: Model, positive: list[str], negative: list[str]) -> Model:
-    """The machine in the landmarks' space, as weights of kernel values."""
-    gram = kernel(model.marks, model.marks).astype(float)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    root = vectors / np.sqrt(np.maximum(values, 1e-3))
-    x = kernel(positive + negative, model.marks).astype(float) @ root
-    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    weight = np.where(y > 0, 1 / len(positive), 1 / max(1, len(negative)))
-    w = machine(x, y, weight)
-    return Model(model.marks, root @ w[:-1], float(w[-1]), share=model.share)
+def features(bags: DataFrame, model: Model, root: np.ndarray) -> DataFrame:
+    """(y, n, x): label, number and landmark features of labelled sentences, those of one worst word together."""
 
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = model.worst([list(x) for x in rows["words"]])
+            yield pd.DataFrame({"y": rows["y"], "doc": rows["doc"], "margin": [m for m, _ in found], "worst": pd.Series([p for _, p in found], dtype=object)})
 
-def word_margin(model: Model):
-    @F.pandas_udf("double")
-    def margin(words: pd.Series) -> pd.Series:
-        return pd.Series(model.margins(words.tolist()))
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x = kernel(rows["worst"].tolist(), model.marks).astype(float) @ root
+            yield pd.DataFrame({"y": rows["y"], "n": rows["n"], "x": list(x)})
 
-    return margin
+    sentence = staged(bags.mapInPandas(judged, "y int, doc long, margin double, worst string").where("worst <> ''"), "toxicity-worst")
+    most = sentence.where("y = 1").groupBy("doc").agg(F.max("margin").alias("most"))
+    positive = sentence.where("y = 1").join(most, "doc").where("margin > 0 OR (margin >= most AND margin > -0.5)").select(F.lit(1).alias("y"), "worst")
+    every = positive.union(sentence.where("y = 0").select(F.lit(-1), "worst")).groupBy("y", "worst").agg(F.count(F.lit(1)).alias("n"))
+    return staged(every.repartition("worst").mapInPandas(mapped, "y int, n long, x array<double>"), "toxicity-features")
 
 
 def text_margins(model: Model):
@@ -366,7 +400,7 @@ def text_margins(model: Model):
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with the probability that each text is toxic as column ``to``."""
+    """``docs`` with the probability that each text is toxic as a new column ``to``."""
 
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
@@ -376,7 +410,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
             out[i : i + 500] = model.probability(model.text_margins(listed[i : i + 500]))
         return pd.Series(out)
 
-    return docs.withColumn(to, probability(F.col(text)))
+    return docs.withColumn(free_name(docs, to), probability(F.col(text)))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.3) -> DataFrame:
