@@ -20,11 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of this machine only where none is named."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is named, a temporary one in local mode; on a cluster that fails, since executors wouldn't share it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not named:
         named = spark.sparkContext.getCheckpointDir() or ""
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cuelattice-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -55,6 +60,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_size(df: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts of a column."""
+    return df.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first().n or 0
+
+
+def slices_for(df: DataFrame, amount: int, each: int) -> int:
+    """Into how many partitions rows of ``amount`` (bytes or tokens) go at about ``each``; as many as cores at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-amount // each))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -3,14 +3,18 @@
 Each document's ids are cut into chunks where a rolling hash of the last ids meets a mask, so that equal
 passages give equal chunks wherever they stand. A chunk is stored once under a digest of its bytes. A
 document's recipe lists its digests and their Merkle root; the manifest holds, for each range of documents,
-their number, their ids and the root over their roots.
+their number, their ids and the root of a tree over their recipes, and a last row over all ranges.
+
+Every read recomputes the tree from the recipes and holds it against the manifest, each recipe against its
+root, and each chunk against its digest, so that what is damaged, missing or too many anywhere fails the read.
 
 Files under the store's path: ``objects/kind=chunk`` (digest, ids), ``recipes`` in ascending order of
 (doc_id, digests) with null ids first, and ``manifest``. All are Parquet, and ids are little-endian unsigned
-integers of ``width`` bytes.
+integers of ``width`` bytes. Buckets and ranges follow the size of the texts, so that a task's share stays the same.
 
-Null texts are empty: they hold the end id alone. Each row is a document of its own, also if its id repeats
-or is null. Other columns are not looked at. An empty table gives an empty store.
+Null texts are empty: they hold the end id alone. Very long texts are encoded whole, one at a time. Each row is a
+document of its own, also if its id repeats or is null; of equal ids the one with the lesser digests comes first.
+Other columns are not looked at. An empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -27,14 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cuelattice.llm.common import column, fresh_path, sliced, table
+from cuelattice.llm.common import column, fresh_path, sliced, slices_for, table, text_size
 from cuelattice.llm.encoding import encoder
 
 #: Ids that the rolling hash sees, and the least, usual and most ids of a chunk.
 WINDOW, LEAST, USUAL, MOST = 16, 32, 256, 1024
 DIGEST = 16
-#: Bytes of chunks that a task gathers before it sends them on.
+#: Bytes of chunks that a task gathers before it sends them on, and bytes of text behind a bucket and a range.
 GATHERED = 16 << 20
+BUCKET, RANGE = 8 << 20, 128 << 20
+#: Children of a node of the manifest's tree.
+FAN = 1024
 
 PARTS = "kind string, bucket int, doc_id long, n_tokens long, digests binary, lengths binary, data binary, root binary"
 OBJECTS = "doc_id long, n_tokens long, digests binary, lengths binary, root binary, digest binary, ids binary, kind string"
@@ -160,29 +167,58 @@ def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> str:
     """Encodes and stores ``docs`` (doc_id, text) under ``path``, and returns ``path``."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: encoded(it, tokenizer_path, end_id, 2 * parts), PARTS)
+    spark, size = docs.sparkSession, text_size(docs)
+    buckets, ranges = slices_for(docs, size, BUCKET), slices_for(docs, size, RANGE)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: encoded(it, tokenizer_path, end_id, buckets), PARTS)
     (
-        rows.groupBy("bucket").applyInArrow(objects, OBJECTS)
+        rows.repartition(slices_for(docs, size, 4 * BUCKET), "bucket").groupBy("bucket").applyInArrow(objects, OBJECTS)
         .write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/objects")
     )
     order = ["doc_id", "digests"]
     recipes = read_objects(spark, path, "recipe").select("doc_id", "n_tokens", "digests", "lengths", "root")
     (
-        recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(placed, RECIPES)
+        recipes.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(placed, RECIPES)
         .write.option("compression", "zstd").parquet(f"{path}/recipes")
     )
-    listed = F.array_sort(F.collect_list(F.struct("ordinal", "root")))
-    (
-        read_recipes(spark, path).groupBy("part")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(listed, lambda x: F.hex(x["root"])), "").cast("binary"), 256).alias("root"))
-        .withColumn("width", F.lit(encoder(tokenizer_path).dtype.itemsize))
-        .coalesce(1).write.parquet(f"{path}/manifest")
-    )
+    found = recipe_roots(read_recipes(spark, path))
+    whole = found.agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit(-1).alias("part"), F.col("n").cast("long").alias("n_docs"), F.lit(0).cast("long").alias("n_tokens"), F.lit(range_root(found)).alias("root"))
+    found.unionByName(whole).withColumn("width", F.lit(encoder(tokenizer_path).dtype.itemsize)).coalesce(1).write.parquet(f"{path}/manifest")
     return path
 
 
+def recipe_roots(recipes: DataFrame) -> DataFrame:
+    """(part, n_docs, n_tokens, root): the root of a tree of ``FAN`` children a node over each range's recipes.
+
+    Each level is a grouping of at most ``FAN`` rows a group.
+    """
+    leaf = F.sha2(F.concat_ws("|", "ordinal", "local_start", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_tokens", F.hex("root")).cast("binary"), 256)
+    level = recipes.select("part", F.col("ordinal").alias("at"), F.col("n_tokens"), F.lit(1).cast("long").alias("n_docs"), leaf.alias("root"))
+    most = recipes.agg(F.max("ordinal").alias("n")).first().n or 0
+    while True:
+        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "root"))), lambda x: F.concat_ws(":", x["at"], x["root"])), " ")
+        level = level.groupBy("part", F.floor(F.col("at") / FAN).alias("at")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(children.cast("binary"), 256).alias("root"))
+        if most < FAN:
+            return level.select("part", "n_docs", "n_tokens", "root")
+        most //= FAN
+
+
+def range_root(ranges: DataFrame) -> str:
+    """One hash over the ranges, a row for each of which comes to the driver."""
+    rows = sorted((r.part, r.n_docs, r.n_tokens, r.root) for r in ranges.select("part", "n_docs", "n_tokens", "root").collect())
+    return hashlib.sha256(repr(rows).encode()).hexdigest()
+
+
+def verified(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest's ranges; raises ``ValueError`` unless these are what the recipes give."""
+    written = spark.read.schema("part int, n_docs long, n_tokens long, root string, width int").parquet(f"{path}/manifest")
+    ranges, top = written.where("part >= 0"), [r.root for r in written.where("part < 0").collect()]
+    if top != [range_root(ranges)]:
+        raise ValueError("the manifest is damaged")
+    if top != [range_root(recipe_roots(read_recipes(spark, path)))]:
+        raise ValueError("the recipes aren't those of the manifest")
+    return ranges
+
+
 def read_objects(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(OBJECTS).parquet(f"{path}/objects").where(F.col("kind") == kind)
 
@@ -192,10 +228,9 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The ranges, each with the number of ids before it."""
-    ranges = spark.read.schema("part int, n_docs long, n_tokens long, root string, width int").parquet(f"{path}/manifest")
+    """The ranges, verified, each with the number of ids before it."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range only
-    return ranges.withColumn("offset", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    return verified(spark, path).withColumn("offset", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def zero_operators() -> np.ndarray:
@@ -225,8 +260,11 @@ def carried(crc: np.ndarray, after: np.ndarray, tables: np.ndarray) -> np.ndarra
     return crc
 
 
-def checked_chunks(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """Each stored chunk's number of ids and crc32 as 32-bit ids; a chunk whose bytes don't give its digest fails the job."""
+def checked_chunks(spark: SparkSession, path: str, width: int, with_ids: bool = False) -> DataFrame:
+    """Each stored chunk's number of ids and crc32 as 32-bit ids, and its ids if asked for.
+
+    A chunk whose bytes don't give its digest fails the job.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,9 +273,10 @@ def checked_chunks(spark: SparkSession, path: str, width: int) -> DataFrame:
                 if digest(x) != d:
                     raise ValueError(f"chunk {d.hex()} is damaged")
             crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in data]
-            yield pa.RecordBatch.from_arrays([column(batch, "digest"), pa.array([len(x) // width for x in data], pa.int64()), pa.array(crc, pa.int64())], ["digest", "n_ids", "crc"])
+            made = [column(batch, "digest"), pa.array([len(x) // width for x in data], pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*made, column(batch, "ids")] if with_ids else made, ["digest", "n_ids", "crc", "ids"][: 3 + with_ids])
 
-    return read_objects(spark, path, "chunk").select("digest", "ids").mapInArrow(check, "digest binary, n_ids long, crc long")
+    return read_objects(spark, path, "chunk").select("digest", "ids").mapInArrow(check, "digest binary, n_ids long, crc long" + ", ids binary" * with_ids)
 
 
 def uses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,20 +325,20 @@ def read_checksums(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """The documents with all their ids again: doc_id, start, ids array<int>."""
-    chunk = read_objects(spark, path, "chunk").select("digest", F.col("ids").alias("data"))
+    """The documents with all their ids again: doc_id, start, ids array<int>. What is damaged or missing fails the job."""
+    chunk = checked_chunks(spark, path, width, with_ids=True).select("digest", "n_ids", "ids")
     placed_chunks = read_recipes(spark, path).mapInArrow(uses, "part int, ordinal long, digest binary, after long").join(chunk, "digest")
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("at"), "data")))
-    bytes_ = F.transform(listed, lambda x: x["data"])
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("at"), "ids")))
 
     @F.pandas_udf("array<int>")
     def joined(xs):
         return xs.map(lambda x: np.frombuffer(b"".join(x), f"<u{width}").astype(np.int32))
 
-    whole = placed_chunks.groupBy("part", "ordinal").agg(bytes_.alias("chunks"))
+    whole = placed_chunks.groupBy("part", "ordinal").agg(F.transform(listed, lambda x: x["ids"]).alias("chunks"), F.sum("n_ids").alias("found"))
+    chunks = F.when(F.col("found") == F.col("n_tokens"), F.col("chunks")).otherwise(F.raise_error(F.lit("a document lacks chunks")))
     return (
-        read_recipes(spark, path).join(whole, ["part", "ordinal"]).join(read_manifest(spark, path).select("part", "offset"), "part")
-        .select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), joined("chunks").alias("ids"))
+        read_recipes(spark, path).join(whole, ["part", "ordinal"], "left").join(read_manifest(spark, path).select("part", "offset"), "part")
+        .select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), joined(chunks).alias("ids"))
     )
 
 

@@ -1,9 +1,14 @@
 """Encoded ids against the library's own, whole text by whole text."""
 
+import shutil
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from helpers import ODD, docs, odd_docs
 
 from cuelattice.llm import packing, token_store
@@ -55,15 +60,72 @@ def test_store_round_trip(spark, tmp_path):
     assert chunks.count() == chunks.select("digest").distinct().count()
 
 
-def test_damage_is_found(spark, tmp_path):
-    import pytest
+def files(path, part):
+    return sorted(p for p in (Path(path) / part).rglob("*.parquet"))
 
+
+def rewritten(file, change):
+    """The file with its rows changed, and without its checksum file."""
+    rows = pq.ParquetFile(file).read()
+    pq.write_table(pa.Table.from_pylist(change(rows.to_pylist()), rows.schema), file)
+    file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+
+
+def cut_first(key):
+    return lambda rows: [r | {key: r[key][::-1]} if i == 0 else r for i, r in enumerate(rows)]
+
+
+DAMAGE = {
+    "a chunk's ids": ("objects/kind=chunk", lambda f: rewritten(f, cut_first("ids"))),
+    "a chunk is gone": ("objects/kind=chunk", lambda f: rewritten(f, lambda rows: rows[1:])),
+    "a recipe's digests": ("recipes", lambda f: rewritten(f, cut_first("digests"))),
+    "a recipe's root": ("recipes", lambda f: rewritten(f, cut_first("root"))),
+    "a recipe's id": ("recipes", lambda f: rewritten(f, lambda rows: [r | {"doc_id": 77} if i == 0 else r for i, r in enumerate(rows)])),
+    "a recipe is gone": ("recipes", lambda f: rewritten(f, lambda rows: rows[1:])),
+    "a recipe is there twice": ("recipes", lambda f: rewritten(f, lambda rows: rows + rows[:1])),
+    "a file of recipes is gone": ("recipes", lambda f: f.unlink()),
+    "the manifest's root": ("manifest", lambda f: rewritten(f, cut_first("root"))),
+    "the manifest's counts": ("manifest", lambda f: rewritten(f, lambda rows: [r | {"n_tokens": r["n_tokens"] + 1} for r in rows])),
+    "a range of the manifest is gone": ("manifest", lambda f: rewritten(f, lambda rows: rows[1:])),
+}
+
+
+def test_damage_is_found(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FAN", 3)
     assert token_store.merkle([b"a", b"b", b"c"]) != token_store.merkle([b"a", b"c", b"b"])
-    path = token_store.write_store(docs(spark, ["some words here"] * 2), str(tmp_path / "store"), LOWER)
-    other = token_store.read_objects(spark, path, "chunk").collect()[0]
-    spark.createDataFrame([(None, None, None, None, None, other.digest, b"\0\0", "chunk")], token_store.OBJECTS).write.mode("append").partitionBy("kind").parquet(f"{path}/objects")
-    with pytest.raises(Exception, match="damaged"):
-        token_store.read_checksums(spark, path, 2).collect()
+    rng = np.random.default_rng(2)
+    texts = [" ".join(map(str, rng.integers(0, 900, 300))) for _ in range(40)]
+    path = token_store.write_store(docs(spark, texts), str(tmp_path / "store"), LOWER)
+    assert token_store.read_checksums(spark, path, 2).count() == 40
+    for what, (part, damage) in DAMAGE.items():
+        own = str(tmp_path / what.replace(" ", "-").replace("'", ""))
+        shutil.copytree(path, own)
+        damage(files(own, part)[0])
+        for read in (token_store.read_checksums, token_store.read_ids):
+            with pytest.raises(Exception, match="damaged|manifest|lacks chunks"):
+                print(what, len(read(spark, own, 2).collect()))
+
+
+def test_many_buckets_and_ranges_give_the_same(spark, tmp_path, monkeypatch):
+    df = table(spark, SF, "documents").limit(50)
+    got = [token_store.read_checksums(spark, token_store.write_store(df, str(tmp_path / "one"), LOWER), 2).orderBy("start").collect()]
+    monkeypatch.setattr(token_store, "BUCKET", 1 << 10)
+    monkeypatch.setattr(token_store, "RANGE", 1 << 14)
+    got.append(token_store.read_checksums(spark, token_store.write_store(df, str(tmp_path / "many"), LOWER), 2).orderBy("start").collect())
+    assert got[0] == got[1]
+
+
+def test_very_long_texts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    texts = ["x" * 300_000, " ".join(map(str, rng.integers(0, 99999, 400_000))), "É日本ſ " * 50_000]
+    df = docs(spark, texts)
+    path = token_store.write_store(df, str(tmp_path / "store"), LOWER)
+    want = {i: x for i, x in enumerate(reference(LOWER, texts))}
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in token_store.read_checksums(spark, path, 2).collect()} == {(i, len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+    want = {i: x for i, x in enumerate(reference(BYTES, texts))}
+    rows = packing.digest_columns(packing.pack(df, BYTES)).collect()
+    assert {(r.doc_id, r.start, r.ids_crc32) for r in rows} == {(r.doc_id, r.start, zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())) for r in rows}
+    assert sum(r.length for r in rows) == sum(map(len, want.values()))
 
 
 def test_empty_store(spark, tmp_path):
