@@ -6,15 +6,18 @@ weights are learnt by expectation-maximisation on the counts of a part of the tr
 left out of the counts; the scores then use the counts of all training documents. A text's first word
 follows the end mark, and the end mark counts as a token.
 
-Counting. Each task cuts its documents into blocks of about ``BLOCK`` tokens. A block asks for the counts of
-its distinct words and word pairs: it sends their 64-bit keys, each once with the block's own counts, to
-the bucket of the key; the bucket adds up and answers in the order asked. Every key goes to a bucket once
-a block, so frequent words and pairs make no bucket large, and counts move as compressed arrays. The number
-of buckets grows with the number of tokens. Words and pairs are told apart by 64-bit hashes.
-
-Null texts are empty: they hold the end mark alone. Every row is a document; a null id counts as the empty
-text when ids choose the parts. Without training documents all counts are zero. Other columns are not
-looked at.
+Counting. Each task cuts its documents into blocks of tokens. A block asks for the counts of its distinct words
+and word pairs: it sends their 64-bit keys, each once with the block's own counts, to the bucket of the key; the
+bucket adds up and answers in the order asked. Every key goes to a bucket once a block, so frequent words and
+pairs make no bucket large, and counts move as compressed arrays. Blocks and buckets grow with the square root of
+the corpus, so that a block sends about ``KEYS`` keys or more to each bucket and the rows it sends grow with the
+tokens; a bucket of which it has no key gets no row, so there are never more rows than keys. Words and pairs
+are told apart by 64-bit hashes.
+
+Null texts are empty: they hold the end mark alone. Very long texts are read whole and end their block.
+Every row is a document, also if its text or id repeats; a null id counts as the empty text when ids choose
+the parts. Contexts with equal counts share a mixture; of two learnt mixtures as near to a count, the one for
+rarer contexts is taken. Without training documents all counts are zero. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import column, sliced, staged, table, text_bytes
+from cuelattice.llm.common import column, sliced, slices_for, staged, table, text_bytes, text_size
 
-#: Tokens of a block, and keys that a bucket has about.
-BLOCK, BUCKET = 1 << 21, 1 << 20
+#: Tokens of a block and of a bucket at least, keys that a block sends to a bucket at least, and tokens of a partition.
+BLOCK, BUCKET, KEYS, PARTITION = 1 << 20, 1 << 20, 64, 1 << 23
 COUNTED, LEFT_OUT, SCORED = 0, 1, 2
 END = b"\n"
 
@@ -60,12 +63,13 @@ def part_of(doc_id: int | None, modulus: int, held: int, left_out: int) -> int:
     return SCORED if rest == held else LEFT_OUT if rest == left_out else COUNTED
 
 
-def blocks(batches: Iterator[pa.RecordBatch], modulus: int, held: int, left_out: int) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], modulus: int, held: int, left_out: int, most: int) -> Iterator[pa.RecordBatch]:
     """Documents as numbers of their block's words; the left-out ones have blocks of their own."""
     number = TaskContext.get().partitionId() << 24
     types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     schema = pa.schema([(f.split()[0], t) for f, t in zip(BLOCKS.split(", "), types, strict=True)])
     open_: dict[bool, tuple[dict[bytes, int], list, list, list, list]] = {}
+    sizes: dict[bool, int] = {}
 
     def closed(apart: bool) -> pa.RecordBatch:
         nonlocal number
@@ -92,7 +96,9 @@ def blocks(batches: Iterator[pa.RecordBatch], modulus: int, held: int, left_out:
             roles.append(role)
             lengths.append(len(split))
             tokens.append(np.fromiter(map(words.__getitem__, split), np.uint32, len(split)))
-            if len(lengths) % 64 == 0 and sum(lengths) > BLOCK or lengths[-1] > BLOCK // 4:
+            sizes[apart] = sizes.get(apart, 0) + len(split)
+            if sizes[apart] > most:
+                sizes[apart] = 0
                 yield closed(apart)
     for apart in list(open_):
         yield closed(apart)
@@ -121,9 +127,11 @@ class Block:
         both = [np.bincount(self.tokens[on], minlength=len(self.words)), np.bincount(self.pair_of[on], minlength=len(self.pairs))]
         return np.concatenate(both)[self.order].astype(np.uint32)
 
-    def bounds(self, buckets: int) -> np.ndarray:
-        edges = (np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - int(math.log2(buckets)))) if buckets > 1 else np.zeros(0, np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.keys, edges), [len(self.keys)]])
+    def bounds(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that any key belongs to, and where the keys of each begin (and the end)."""
+        of = self.keys >> np.uint64(64 - int(math.log2(buckets))) if buckets > 1 else np.zeros(len(self.keys), np.uint64)
+        met, first = np.unique(of, return_index=True)
+        return met.astype(np.int64), np.append(first, len(self.keys))
 
     def answered(self, answers: list[dict]) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
         """(counted, left out) of words and of pairs, in their order here."""
@@ -141,11 +149,10 @@ def asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         for row in batch.to_pylist():
             block = Block(row)
             own, out = [block.counts(COUNTED), block.counts(LEFT_OUT)], []
-            at = block.bounds(buckets)
-            for bucket, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)):
-                if b > a:
-                    steps = np.diff(block.keys[a:b], prepend=np.uint64(0))
-                    out.append((bucket, row["block"], b - a, squeeze(steps), squeeze(own[0][a:b]), squeeze(own[1][a:b])))
+            met, at = block.bounds(buckets)
+            for bucket, a, b in zip(met.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                steps = np.diff(block.keys[a:b], prepend=np.uint64(0))
+                out.append((bucket, row["block"], b - a, squeeze(steps), squeeze(own[0][a:b]), squeeze(own[1][a:b])))
             names = [f.split()[0] for f in ASKED.split(", ")]
             types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -235,12 +242,12 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, left_out: int = 5) -
     ``left_out`` from the counts by which the mixture is learnt.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = staged(rows.mapInArrow(lambda it: blocks(it, modulus, held, left_out), BLOCKS), "lm-blocks")
+    grown = math.isqrt(KEYS * text_size(rows) // 6)  # a token has six bytes about
+    most = max(BLOCK, grown)
+    cut = staged(rows.mapInArrow(lambda it: blocks(it, modulus, held, left_out, most), BLOCKS), "lm-blocks")
     tokens = cut.agg(F.sum("n_tokens").alias("n")).first().n or 0
-    buckets = 1 << max(3, math.ceil(math.log2(max(1, tokens / BUCKET))))
-    answers = staged(
-        cut.mapInArrow(lambda it: asked(it, buckets), ASKED).groupBy("bucket").applyInArrow(counted, ANSWERED), "lm-answers"
-    )
+    parts = slices_for(docs, tokens, PARTITION)
+    answers = staged(asks(cut, tokens, grown).repartition(parts, "bucket").groupBy("bucket").applyInArrow(counted, ANSWERED), "lm-answers")
     types = {r.block: r.n for r in answers.where("block < 0").groupBy("block").agg(F.sum("n_types").alias("n")).collect()}
     sizes = cut.select("roles", "lengths").mapInArrow(sized, "role int, length long").groupBy("role").agg(F.sum("length").alias("n")).collect()
     by_role = {r.role: r.n for r in sizes}
@@ -248,14 +255,21 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, left_out: int = 5) -
     apart = cut.where(F.col("role") == LEFT_OUT)
     mine = answers.join(apart.select("block"), "block", "left_semi")
     mixed = staged(
-        apart.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(lambda b, a: mixtures(b, a, n0), MIXED), "lm-mixtures"
+        apart.repartition(parts, "block").groupBy("block").cogroup(mine.repartition(parts, "block").groupBy("block")).applyInArrow(lambda b, a: mixtures(b, a, n0), MIXED), "lm-mixtures"
     )
     weights = learnt(mixed, types.get(-1, 0))
     n, v = n0 + n1, types.get(-2, 0)
-    found = cut.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(lambda b, a: scores(b, a, n, v, weights), SCORES)
+    theirs = answers.where("block >= 0").repartition(parts, "block")
+    found = cut.repartition(parts, "block").groupBy("block").cogroup(theirs.groupBy("block")).applyInArrow(lambda b, a: scores(b, a, n, v, weights), SCORES)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def asks(cut: DataFrame, tokens: int, grown: int) -> DataFrame:
+    """What the blocks ask: a row for each block and bucket of its keys."""
+    buckets = 1 << max(3, math.ceil(math.log2(max(1, tokens / max(BUCKET, grown)))))
+    return cut.mapInArrow(lambda it: asked(it, buckets), ASKED)
+
+
 def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of each role, block by block."""
     for batch in batches:

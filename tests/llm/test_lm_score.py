@@ -59,15 +59,42 @@ def got(df):
     return sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
 
 
-@pytest.mark.parametrize("size", [1 << 21, 500])
+@pytest.mark.parametrize("size", [1 << 20, 500])
 def test_scores(spark, size, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK", size)
+    monkeypatch.setattr(lm, "BUCKET", size)
     df = table(spark, SF, "documents").select("doc_id", "text").unionByName(odd_docs(spark).select("doc_id", "text"))
     want = plain([tuple(r) for r in df.collect()])
     for a, b in zip(got(lm.score(df)), want, strict=True):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-4 and abs(a[6] - b[6]) < 1e-4
 
 
+def rows_asked(spark, n, monkeypatch):
+    """Rows that the blocks of ``n`` documents send, and blocks times buckets."""
+    seen = {}
+    monkeypatch.setattr(lm, "asks", lambda cut, tokens, grown: seen.setdefault("asks", asks_of(cut, tokens, grown)))
+    words = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> concat('w', xxhash64(id, i) % 5000))) AS text")
+    lm.score(words).count()
+    return seen["asks"].count()
+
+
+asks_of = lm.asks
+
+
+def test_rows_asked_grow_with_the_tokens(spark, monkeypatch):
+    for name, x in (("BLOCK", 256), ("BUCKET", 256), ("KEYS", 8)):
+        monkeypatch.setattr(lm, name, x)
+    few, many = (rows_asked(spark, n, monkeypatch) for n in (1000, 4000))
+    assert 2 * few < many < 6 * few and many < 4000 * 41 * 4 / 8
+
+
+def test_a_very_long_text(spark):
+    texts = ["long " * 300_000 + "end", "x" * 2_000_000, "a b", "long end"]
+    df = docs(spark, texts)
+    for a, b in zip(got(lm.score(df)), plain(list(enumerate(texts))), strict=True):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-3 * abs(b[5]) and abs(a[6] - b[6]) < 1e-3 * abs(b[6])
+
+
 def test_the_mixture_beats_the_base(spark):
     rows = [r for r in lm.op3_lm_score(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
