@@ -1,23 +1,33 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A benchmark item and every window of a document that is as long as it are fingerprinted by the majority bits
-of their word shingles' hashes, each weighted by its repeats. The fingerprints' bits are cut into ``radius``
-+ 1 blocks; two fingerprints within the radius agree on one of them, so a look-up by block finds them all.
-Candidates within the radius are verified by the exact similarity of their weighted shingles, the sum of the
-lesser over the sum of the greater weights. Windows without a shingle of any item have similarity zero and are
-not fingerprinted.
+A benchmark item and windows of a document that are as long as it are fingerprinted by the majority bits of
+their word shingles' hashes, each weighted by its repeats. The fingerprints' bits are cut into ``radius`` + 1
+blocks; two fingerprints within the radius agree on one of them, so a look-up by block finds them all. Candidates
+within the radius are verified by the exact similarity of their weighted shingles, the sum of the lesser over
+the sum of the greater weights.
+
+Seeds. At so wide a radius blocks alone tell little apart, so they only look at items that a window may match: a
+window at the similarity has all but a fifth of an item's shingles, so of any fifth of them and one more it has one.
+These seeds are the shingles that are rarest in the benchmark. A filter of bounded size over all seeds picks out the
+documents' shingles that may be seeds, a join by hash names their items, and windows with a seed of an
+item are looked up among the items of their seeds, ``GROUP`` at most at a time. The filter's false finds drop out in
+the join.
 
 At similarity 0.8 fingerprints differ in 9.7 bits on average (deviation 2.9), so a radius of 24 loses about
 one in a million windows at the threshold, and fewer beyond.
 
 Words are runs of characters other than white space, with A-Z in lower case; items with fewer words than a
-shingle are one shingle. Null and empty texts hold nothing, and items without a word match nothing. Copies of
-an item are all found. Rows keep all their columns. The items go to the executors in slices of at most
-``SLICE_BYTES`` of text (or one item), and each document is held against every slice.
+shingle are one shingle. A document with fewer words than an item is one window. Null and empty texts hold
+nothing, and items without a word match nothing. Copies of an item are all found, as are its repeats in a document
+that don't overlap; of overlapping ones the most similar, then the first. Very long texts are read whole. Equal
+texts are searched once. Rows keep all their columns, also those with names that are used here.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from bisect import bisect, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,17 +35,23 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cuelattice.llm.common import free_name, table, text_bytes
+from cuelattice.llm.common import column, free_name, sliced, staged, table, text_bytes
 
 SHINGLE, SIMILAR, RADIUS = 5, 0.8, 24
-SLICE_BYTES = 8 << 20
-HIT = "struct<item_id:long,start:long,n_words:long,similarity:double>"
-HIT_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
-#: Windows that are fingerprinted at once.
-BLOCK = 8192
+#: Windows that are fingerprinted at once, and items that are held against a document at once.
+BLOCK, GROUP = 2048, 256
+#: Bits of the seeds' filter: 16 a seed, 2 ** FILTER at most (32 MB), in slices of 2 ** 16.
+FILTER = 28
+#: Contaminated texts whose keys are broadcast at most (about 64 bytes each); beyond it they are joined by shuffle.
+BROADCAST = 1_000_000
+
+ITEMS = "item_id long, digest binary, k int, n_words long, fp long, shingles binary"
+SEEDED = "key string, text string, seeds array<struct<k:int,at:long,h:long>>"
+HITS = "key string, item long, start long, n_words long, similarity double"
 
 
 def word_hash(word: bytes) -> int:
@@ -52,6 +68,13 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def hashes_of(text: bytes) -> np.ndarray:
+    """Hash of each word of a text."""
+    words = text.lower().split()
+    known = {w: word_hash(w) for w in set(words)}
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
 def bits_of(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
 
@@ -93,130 +116,188 @@ class Items:
         return list(zip(window[close].tolist(), item[close].tolist(), strict=True))
 
 
-class Index:
-    """A slice of the benchmark, ready to be searched for in texts."""
+def windows(words: np.ndarray, seeds: np.ndarray, group: Items, k: int, n: int, radius: int, similar: float) -> list[tuple[int, int, int, float]]:
+    """(item, start, words, similarity) of verified windows of ``n`` words around the seeds' places in ``words``."""
+    n = min(n, len(words))
+    width, shingles, best = n - k + 1, shingle_hashes(words, k), []
+    marked = np.zeros(len(words) - n + 2, np.int64)
+    np.add.at(marked, np.maximum(0, seeds - width + 1), 1)
+    np.add.at(marked, np.minimum(len(words) - n, seeds) + 1, -1)
+    starts = np.flatnonzero(np.cumsum(marked)[:-1] > 0)
+    for part in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1):
+        for i in range(0, len(part), BLOCK):
+            s = part[i : i + BLOCK]
+            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits_of(shingles[s[0] : s[-1] + width]), axis=0)])
+            prints = packed(sums[s - s[0] + width] - sums[s - s[0]], width)
+            for w, item in group.near(prints, radius):
+                mine, theirs = Counter(shingles[s[w] : s[w] + width].tolist()), group.shingles[item]
+                shared = sum((mine & Counter(theirs.tolist())).values())
+                alike = shared / (width + len(theirs) - shared)
+                if alike >= similar:
+                    best.append((-alike, int(s[w]), item))
+    out, taken = [], {}
+    for alike, start, item in sorted(best):
+        near = taken.setdefault(item, [])
+        at = bisect(near, start)
+        if all(abs(start - x) >= n for x in near[max(0, at - 1) : at + 1]):
+            insort(near, start)
+            out.append((group.ids[item], start, n, -alike))
+    return out
+
 
-    def __init__(self, rows: list[tuple[int, str]], radius: int, similar: float) -> None:
-        self.radius, self.similar = radius, similar
-        self.known: dict[bytes, int] = {}
-        held: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-        for item_id, text in rows:
-            words = (text or "").encode().lower().split()
-            if words:
-                self.known.update((w, word_hash(w)) for w in words)
+def searched(text: pa.Table, items: pa.Table, radius: int, similar: float) -> pa.Table:
+    """Hits of one document and a group of the items whose seeds it has."""
+    row, out = text.to_pylist()[0], []
+    words = hashes_of((row["text"] or "").encode("utf-8", "surrogatepass"))
+    sizes: dict[tuple[int, int], list[dict]] = {}
+    for r in items.to_pylist():
+        sizes.setdefault((r["k"], r["n_words"]), []).append(r)
+    for (k, n), rows in sorted(sizes.items()):
+        group = Items([r["item"] for r in rows], [np.frombuffer(r["shingles"], np.uint64) for r in rows], np.array([r["fp"] for r in rows], np.int64).view(np.uint64))
+        group.index(radius)
+        out += windows(words, np.unique(np.concatenate([r["ats"] for r in rows])), group, k, n, radius, similar)
+    names = [c.split()[0] for c in HITS.split(", ")]
+    columns = list(zip(*out, strict=True)) or [()] * 4
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    return pa.Table.from_arrays([pa.array([row["held"]] * len(out), pa.string()), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
+
+
+def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprint and shingles of each item with a word."""
+    names = [c.split()[0] for c in ITEMS.split(", ")]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    for batch in batches:
+        out = []
+        for item_id, text in zip(column(batch, "item_id").to_pylist(), text_bytes(column(batch, "text")), strict=True):
+            words = hashes_of(text)
+            if len(words):
                 k = min(SHINGLE, len(words))
-                h = np.array([self.known[w] for w in words], np.uint64)
-                held.setdefault((k, len(words)), []).append((item_id, shingle_hashes(h, k)))
-        self.groups: dict[tuple[int, int], Items] = {}
-        for (k, n), items in held.items():
-            prints = np.concatenate([packed(bits_of(h).sum(axis=0, keepdims=True), n - k + 1) for _, h in items])
-            self.groups[k, n] = Items([i for i, _ in items], [h for _, h in items], prints)
-            self.groups[k, n].index(radius)
-        #: Of each shingle size, the items' shingles in order, each with the groups that hold it.
-        self.seeds: dict[int, tuple[np.ndarray, list[set[int]]]] = {}
-        for k in {k for k, _ in held}:
-            owners: dict[int, set[int]] = {}
-            for (k2, n), items in held.items():
-                if k2 == k:
-                    for _, h in items:
-                        for x in h.tolist():
-                            owners.setdefault(x, set()).add(n)
-            order = sorted(owners)
-            self.seeds[k] = (np.array(order, np.uint64), [owners[x] for x in order])
-
-    def search(self, text: bytes) -> list[dict[str, float]]:
-        words = text.lower().split()
-        get = self.known.get
-        h = np.array([get(w, 0) for w in words], np.uint64)
-        known = np.concatenate([[0], np.cumsum(h != 0)])
-        found: list[dict[str, float]] = []
-        whole = None
-        for k, (seeds, owners) in self.seeds.items():
-            if len(h) < k:
-                continue
-            at = np.flatnonzero(known[k:] - known[:-k] == k)
-            if not len(at):
-                continue
-            sh = shingle_hashes(h, k)[at]
-            place = np.minimum(np.searchsorted(seeds, sh), len(seeds) - 1)
-            at, place = at[seeds[place] == sh], place[seeds[place] == sh]
-            if not len(at):
-                continue
-            if whole is None:
-                whole = h.copy()
-                for i in np.flatnonzero(h == 0).tolist():
-                    whole[i] = word_hash(words[i])
-            for n in sorted(set().union(*(owners[p] for p in place.tolist()))):
-                near = at[[n in owners[p] for p in place.tolist()]]
-                if len(whole) >= n:
-                    found += self.windows(whole, near, k, n)
-        return sorted(found, key=lambda x: (x["start"], x["item_id"]))
-
-    def windows(self, words: np.ndarray, seeds: np.ndarray, k: int, n: int) -> list[dict[str, float]]:
-        """Verified windows of ``n`` words around the seeds, the best of those that overlap for each item."""
-        group, width = self.groups[k, n], n - k + 1
-        marked = np.zeros(len(words) - n + 2, np.int64)
-        np.add.at(marked, np.maximum(0, seeds - width + 1), 1)
-        np.add.at(marked, np.minimum(len(words) - n, seeds) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(marked)[:-1] > 0)
-        shingles, best = shingle_hashes(words, k), []
-        for part in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1):
-            for i in range(0, len(part), BLOCK):
-                s = part[i : i + BLOCK]
-                if not len(s):
-                    continue
-                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits_of(shingles[s[0] : s[-1] + width]), axis=0)])
-                prints = packed(sums[s - s[0] + width] - sums[s - s[0]], width)
-                for w, item in group.near(prints, self.radius):
-                    mine = Counter(shingles[s[w] : s[w] + width].tolist())
-                    shared = sum((mine & Counter(group.shingles[item].tolist())).values())
-                    alike = shared / (2 * width - shared)
-                    if alike >= self.similar:
-                        best.append((-alike, int(s[w]), item))
-        out, taken = [], {}
-        for alike, start, item in sorted(best):
-            if all(abs(start - x) >= n for x in taken.setdefault(item, [])):
-                taken[item].append(start)
-                out.append({"item_id": group.ids[item], "start": start, "n_words": n, "similarity": -alike})
-        return out
-
-
-def slices(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in slices whose texts have a bounded size each; yields no slice for an empty table."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    count = -(-total // SLICE_BYTES)
-    for i in range(count):
-        yield [(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i).collect()]
+                h = shingle_hashes(words, k)
+                fp = packed(bits_of(h).sum(axis=0, keepdims=True), len(h)).view(np.int64)
+                out.append((item_id, xxhash.xxh3_128_digest(b" ".join(text.lower().split())), k, len(words), int(fp[0]), h.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 6, types, strict=True)], names)
+
+
+def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each item."""
+    for batch in batches:
+        for item, k, data in zip(*(column(batch, c).to_pylist() for c in ("item", "k", "shingles")), strict=True):
+            h = np.frombuffer(data, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), item)), pa.array(np.full(len(h), k, np.int32)), pa.array(h)], ["item", "k", "h"])
+
+
+def seeds_of(items: DataFrame, similar: float) -> DataFrame:
+    """(item, k, h): the rarest shingles of each item, so many that every window at the similarity has one."""
+    each = items.mapInArrow(spelled, "item long, k int, h long")
+    common = each.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "h"))
+    size = items.select("item", (F.col("n_words") - F.col("k") + 1).alias("size"))
+    ranked = each.join(common, ["k", "h"]).join(size, "item").withColumn("rank", rank)
+    return ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1).select("item", "k", "h").distinct()
+
+
+def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each value of the seeds' first bits, and the number of these bits. The driver gets 32 MB at most."""
+    n = seeds.count()
+    bits = min(FILTER, max(17, math.ceil(math.log2(16 * max(1, n)))))
+
+    def merged(rows: pa.Table) -> pa.Table:
+        on = np.zeros(1 << 16, np.uint8)
+        on[rows.column("slot").to_numpy() & 0xFFFF] = 1
+        return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    slots = seeds.select(slot.alias("slot")).distinct().withColumn("slice", F.shiftright("slot", 16))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in slots.groupBy("slice").applyInArrow(merged, "slice long, bits binary").collect():  # 8 kB each, 4096 at most
+        out[r.slice << 13 : (r.slice + 1) << 13] = np.frombuffer(r.bits, np.uint8)
+    return out, bits
+
+
+def seeded(docs: DataFrame, text: str, seeds: DataFrame) -> DataFrame:
+    """The texts that may hold a seed, once each: key, text, and where which shingle may be one."""
+    on, bits = seed_filter(seeds)
+    sizes = sorted(r.k for r in seeds.select("k").distinct().collect())  # five at most
+    shared = docs.sparkSession.sparkContext.broadcast(on)
+    names = ["key", "text", "seeds"]
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("at", pa.int64()), ("h", pa.int64())]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in sliced(batches, "text"):
+            keys, rows, found = [], [], []
+            for i, data in enumerate(text_bytes(column(batch, "text"))):
+                words, met = hashes_of(data), []
+                for k in sizes:
+                    h = shingle_hashes(words, k)
+                    slot = h >> np.uint64(64 - bits)
+                    at = np.flatnonzero(known[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    met += [{"k": k, "at": a, "h": x} for a, x in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True)]
+                if met:
+                    keys.append(hashlib.md5(data).hexdigest())
+                    rows.append(i)
+                    found.append(met)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), column(batch, "text").take(pa.array(rows, pa.int64())), pa.array(found, kind)], names)
+
+    every = docs.select(F.col(text).alias("text")).mapInArrow(scan, SEEDED)
+    return every.groupBy("key").agg(F.first("text").alias("text"), F.first("seeds").alias("seeds"))
+
+
+def key_of(text: str) -> Column:
+    """The key of a row's text."""
+    return F.md5(F.col(text).cast("binary"))
+
+
+def candidates(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(key, item, ats): the places of an item's seeds in a text that has any."""
+    met = texts.select("key", F.explode("seeds").alias("s")).select("key", "s.*")
+    return met.join(seeds, ["k", "h"]).groupBy("key", "item").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+
+
+def matches(docs: DataFrame, items: DataFrame, text: str = "text", radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
+    """(key, item_id, start, n_words, similarity) of each item (item_id, text) found in a text with the key."""
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(prepared, ITEMS)
+    named = staged(named, "benchmark-items")
+    firsts = named.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("k", "n_words", "fp", "shingles")])
+    distinct = staged(firsts.withColumn("item", F.monotonically_increasing_id()), "benchmark-texts")
+    seeds = staged(seeds_of(distinct, similar), "benchmark-seeds")
+    texts = staged(seeded(docs, text, seeds), "seeded-texts")
+    held = candidates(texts, seeds).join(distinct, "item").withColumn("slice", F.floor(F.col("item") / GROUP))
+    held = staged(held.select("key", "slice", "item", "k", "n_words", "fp", "shingles", "ats"), "candidate-items")
+    groups = held.select(F.col("key").alias("held"), F.col("slice").alias("part")).distinct()
+    whole = texts.select("key", "text").join(groups, F.col("key") == F.col("held")).select(F.col("held"), F.col("part"), "text")
+    found = whole.groupBy("held", "part").cogroup(held.groupBy("key", "slice")).applyInArrow(lambda t, i: searched(t, i, radius, similar), HITS)
+    copies = named.join(distinct.select("digest", "item"), "digest").select("item", "item_id")
+    return staged(found.join(copies, "item").select("key", "item_id", "start", "n_words", "similarity"), "benchmark-hits")
 
 
 def find(docs: DataFrame, items: DataFrame, text: str = "text", to: str = "hits", radius: int = RADIUS, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with an array ``to`` of the items (item_id, text) found in each text: item_id, start, n_words, similarity."""
-    sc = docs.sparkSession.sparkContext
-    parts = [searcher(sc.broadcast(Index(rows, radius, similar)))(F.col(text)) for rows in slices(items)]
-    return docs.withColumn(to, F.concat(*parts) if parts else F.array().cast(f"array<{HIT}>"))
-
-
-def searcher(index):
-    """A function of a text column: the hits of a broadcast index."""
-
-    @F.arrow_udf(f"array<{HIT}>")
-    def hits(texts: pa.Array) -> pa.Array:
-        return pa.array([index.value.search(t) for t in text_bytes(texts)], HIT_TYPE)
+    """``docs`` with a new array of the items (item_id, text) found in each text: item_id, start, n_words, similarity.
 
-    return hits
+    The array is called ``to``, with underscores before it if a column is called so.
+    """
+    to = free_name(docs, to)
+    key = free_name(docs, "key")
+    listed = F.array_sort(F.collect_list(F.struct("start", "item_id", "n_words", "similarity")))
+    ordered = F.transform(listed, lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), x["n_words"].alias("n_words"), x["similarity"].alias("similarity")))
+    hits = matches(docs, items, text, radius, similar).groupBy(F.col("key").alias(key)).agg(ordered.alias(to))
+    none = F.array().cast("array<struct<item_id:long,start:long,n_words:long,similarity:double>>")
+    return docs.join(hits, key_of(text) == F.col(key), "left").drop(key).withColumn(to, F.coalesce(to, none))
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no item is found, with their columns."""
-    to = free_name(docs, "hits")
-    return find(docs, items, to=to).where(F.size(to) == 0).drop(to)
+    key = free_name(docs, "key")
+    bad = staged(matches(docs, items).select(F.col("key").alias(key)).distinct(), "contaminated-texts")
+    few = bad.count() <= BROADCAST
+    return docs.join(F.broadcast(bad) if few else bad, key_of("text") == F.col(key), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item found in a document: doc_id, item_id, start (words before it), n_words, similarity."""
-    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = matches(docs, table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", key_of("text").alias("key")).join(hits, "key").drop("key")
 
 
 QUERIES = {"op2_decontamination": op2_decontamination}
