@@ -7,20 +7,23 @@ by how well it separates the sample. The score is that language's share under a
 text is ambiguous if the share is low or its best codeword fits no better than chance.
 
 The classifiers are fitted on whole texts of a bounded sample: about ``per_language`` rows of each language,
-those whose id hashes below the language's threshold. Null texts and texts without a letter are ``und`` with
-score 0 and ambiguous, as are all texts if no language was learnt. Rows with a null language or a null id
-teach nothing. Scored rows keep all their columns.
+those whose id hashes below the language's threshold. Null texts and texts without a letter (Unicode category L) are
+``und`` with score 0 and ambiguous, as are all texts if no language was learnt. Rows with a null language or a null
+id teach nothing; repeated rows count as often as they stand. Of languages with equal losses the first in the
+alphabet is taken, and such a text is ambiguous. Very long texts are read whole, a part at a time. A model is 2 ** BITS
+numbers for each bit of the code, so more than ``most_languages`` languages are an error. Scored rows keep all their
+columns; the new one gets underscores before its name if that is taken.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ SIZES = (2, 3, 4)
 UNKNOWN = "und"
 LEAST_SHARE = 0.6
 CHUNK = 1 << 17
-LETTER = re.compile(r"[^\W\d_]")
-ASCII_LETTER = re.compile(rb"[A-Za-z]")
+LETTER = regex.compile(r"\p{L}")
+ASCII_LETTER = regex.compile(rb"[A-Za-z]")
 #: Bytes as the classifiers see them: letters in lower case, bytes of other alphabets as they are, the rest as spaces.
 SEEN = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
@@ -121,10 +124,12 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": pd.Series(list(sums), dtype=object), "shares": pd.Series([x.tobytes() for x in sums.values()], dtype=object)})
 
 
-def fit(docs: DataFrame, per_language: int = 1000) -> Model:
+def fit(docs: DataFrame, per_language: int = 1000, most_languages: int = 500) -> Model:
     """A model of the languages of ``docs`` (doc_id, text, lang)."""
     rows = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.ones((0, 1)), np.zeros((1 << BITS, 1), np.float32), np.ones(1), np.zeros(1), np.ones(1))
@@ -173,14 +178,14 @@ def scaled(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, fl
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", to: str = "language") -> DataFrame:
-    """``docs`` with struct ``to`` (lang_pred, score, ambiguous)."""
+    """``docs`` with a new struct (lang_pred, score, ambiguous)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on the number of languages only
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def decoded(texts: pd.Series) -> pd.DataFrame:
         return shared.value.decode([b"" if t is None else t.encode() for t in texts])
 
-    return docs.withColumn(to, decoded(F.col(text)))
+    return docs.withColumn(free_name(docs, to), decoded(F.col(text)))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -5,11 +5,10 @@ host, the documents that have a line are counted. A line is frequent if more tha
 its host have it, however large the host is. Frequent lines are removed; a document that loses more than
 ``most_lost`` of its words is depleted and rejected, as are those that fail the base rules.
 
-The SQL also asks for more than 0.1 % of the host's documents, so it keeps lines that are removed here in hosts
-of 20,000 documents or more.
-
 Null texts have no words and fail. A null host is a host of its own. Every row is a document, whatever its
-id; other columns are not looked at. An empty table gives no rows.
+id; repeated rows count as often as they stand, and a line with just ``min_docs`` documents isn't frequent. Very long
+texts are read whole. Kept columns keep their names, and a result whose name one of them has gets underscores
+before it; other columns are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,20 +62,22 @@ def repeated_words(words: Column, n: int = 3) -> Column:
     return let(words, lambda w: F.when(F.size(w) > n, let(windows(w), covered)).otherwise(F.lit(0).cast("long")))
 
 
-def measured(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """Base counts of each row, and its lines with words as (hash, words)."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measured(text: Column) -> list[Column]:
+    """Base counts of a text, and its lines with words as (hash, words)."""
+    whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n"), has_word)
-    return docs.select(
-        "*",
-        F.col(host).alias("_host"),
-        F.size(words_of(whole)).cast("long").alias("n_words"),
-        F.length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        repeated_words(words_of(whole)).alias("n_repeat_words"),
-        F.transform(lines, lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(words_of(x)).alias("n"))).alias("_lines"),
+    counts = (
+        F.size(words_of(whole)).cast("long"),
+        F.length(F.translate(whole, SPACES, "")).cast("long"),
+        (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
+        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+        repeated_words(words_of(whole)),
     )
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(words_of(x)).alias("n")))
+    return [*[c.alias(name) for c, name in zip(counts, BASE, strict=True)], hashed.alias("lines")]
 
 
 def judge(
@@ -87,28 +88,29 @@ def judge(
 
     ``clean_text`` adds the text without its frequent lines.
     """
-    row = free_name(docs, "_row")
-    wanted = docs.select(*[F.col(c) for c in dict.fromkeys((*keep, text, host))])
-    whole = measured(wanted, text, host).withColumn(row, F.monotonically_increasing_id())
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = staged(whole.select(row, *[F.col(c).alias(f"k_{c}") for c in keep], *base, "_host", "_lines", *([F.col(text).alias("_text")] if clean_text else [])), "line-rules")
+    kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    given = docs.select(*kept, F.col(text).alias("text"), F.col(host).alias("host"))
+    whole = given.select(F.monotonically_increasing_id().alias("row"), *[c for c in given.columns if c != "text" or clean_text], *measured(F.col("text")))
+    rows = staged(whole, "line-rules")
     counted = (
-        rows.select("_host", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("h"))
-        .groupBy("_host", "h").agg(F.count(F.lit(1)).alias("with_line")).where(F.col("with_line") > min_docs)
+        rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+        .groupBy("host", "h").agg(F.count(F.lit(1)).alias("with_line")).where(F.col("with_line") > min_docs)
     )
-    frequent = staged(counted.select("_host", "h"), "frequent-lines")
-    met = rows.select(row, "_host", F.explode("_lines").alias("x")).select(row, "_host", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    frequent = staged(counted.select("host", "h"), "frequent-lines")
+    met = rows.select("row", "host", F.explode("lines").alias("x")).select("row", "host", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     lost = (
-        met.alias("m").join(frequent.alias("f"), (F.col("m.h") == F.col("f.h")) & F.col("m._host").eqNullSafe(F.col("f._host")))
-        .groupBy(row).agg(F.sum("n").alias("lost_words"), *([F.collect_set("m.h").alias("_gone")] if clean_text else []))
+        met.alias("m").join(frequent.alias("f"), (F.col("m.h") == F.col("f.h")) & F.col("m.host").eqNullSafe(F.col("f.host")))
+        .groupBy("row").agg(F.sum("n").alias("lost"), *([F.collect_set("m.h").alias("gone")] if clean_text else []))
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = rows.join(lost, row, "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
-    left = [F.col(f"k_{c}").alias(c) for c in keep]
+    out = rows.join(lost, "row", "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
+    left = out.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
+    results = {c: F.col(c) for c in BASE} | {"lost_words": F.col("lost"), "base_failed": failed, "kept": ~failed & (F.col("lost") <= most_lost * F.col("n_words"))}
     if clean_text:
-        gone = F.coalesce("_gone", F.array().cast("array<bigint>"))
-        left.append(F.array_join(F.filter(F.split(F.coalesce("_text", F.lit("")), "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normalised(x)))), "\n").alias("clean_text"))
-    return out.select(*left, *base, "lost_words", failed.alias("base_failed"), (~failed & (F.col("lost_words") <= most_lost * F.col("n_words"))).alias("kept"))
+        gone = F.coalesce("gone", F.array().cast("array<bigint>"))
+        lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normalised(x))))
+        results["clean_text"] = F.array_join(lines, "\n")
+    return out.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], *[c.alias(free_name(left, name)) for name, c in results.items()])
 
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +128,7 @@ lw AS (SELECT r, source, line, trim(regexp_replace(lower(line), '[ \t-\r]+', ' '
          len(list_filter(string_split_regex(line, '[ \t-\r]+'), lambda x: x <> '')) AS n
        FROM l WHERE regexp_matches(line, '[^ \t-\r]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY r),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-freq AS (SELECT lw.source, norm FROM lw JOIN hosts ON lw.source IS NOT DISTINCT FROM hosts.source GROUP BY lw.source, norm, docs
-         HAVING count(DISTINCT r) > 20 AND count(DISTINCT r) > 0.001 * docs),
+freq AS (SELECT source, norm FROM lw GROUP BY source, norm HAVING count(DISTINCT r) > 20),
 lost AS (SELECT r, sum(n) AS lost_words FROM lw JOIN freq ON lw.norm = freq.norm AND lw.source IS NOT DISTINCT FROM freq.source GROUP BY r),
 pos AS (SELECT r, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM w, unnest(range(1, len(ws) - 1)) u(i) WHERE len(ws) > 3),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS k FROM pos) WHERE k > 1),

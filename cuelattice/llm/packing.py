@@ -1,8 +1,9 @@
 """Packing by powers of two: a document's ids are cut into pieces of binary lengths, longest first.
 
 Each piece is a training sequence of its own, so no sequence crosses documents and none needs padding;
-sequences of one length form a bucket. Null texts are empty and hold the end id alone. Each row is a
-document of its own, also if its id repeats or is null; other columns are not looked at.
+sequences of one length form a bucket, which is a folder of its own. Null texts are empty and hold the end id alone.
+Very long texts are encoded whole, one at a time. Each row is a document of its own, also if its text or id
+repeats or the id is null; other columns are not looked at. An empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import column, sliced, table
+from cuelattice.llm.common import column, fresh_path, sliced, table
 from cuelattice.llm.encoding import encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -57,9 +58,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, most: int = 2048
     return rows.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
-def write_buckets(packed: DataFrame, path: str) -> None:
-    """One folder of sequences for each length."""
+def bucketed(packed: DataFrame, path: str) -> DataFrame:
+    """The pieces as written under ``path``, a folder for each length, and read back."""
     packed.write.option("compression", "zstd").partitionBy("length").parquet(path)
+    return packed.sparkSession.read.schema(packed.schema).parquet(path).select(*packed.columns)
 
 
 def digest_columns(packed: DataFrame) -> DataFrame:
@@ -68,10 +70,11 @@ def digest_columns(packed: DataFrame) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of at most 2048 ids."""
+    """Packs all documents into sequences of at most 2048 ids, writes their buckets, and returns what these hold."""
     import public_tokenizers
 
-    return digest_columns(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return digest_columns(bucketed(packed, fresh_path(spark, "packed")))
 
 
 QUERIES = {"op5_packing": op5_packing}

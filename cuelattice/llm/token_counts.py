@@ -7,11 +7,15 @@ computed once from its ancestors, whatever number of pre-tokens pass through it.
 last node is its number of tokens. The pre-tokens are taken in sorted order, so that the path to the
 current node is all of the trie that has to be held.
 
-The vocabulary is that of a public piece model; the log probability of a piece follows Zipf's law on its rank
-there. A character that no piece covers costs its UTF-8 bytes, each a token with the probability of the last
-rank. Of segmentations with equal scores, the one with fewer tokens counts.
-
-Null texts and texts without a word have no tokens. Rows keep all their columns.
+The vocabulary is that of a public piece model, which has no probabilities, and tokenizers aren't trained here: the
+log probability of a piece follows Zipf's law on its rank there. The counts are thus those of this rank-based
+model, not of the library's merges; the results' names say so. A character that no piece covers costs its UTF-8
+bytes, each a token with the probability of the last rank, and so does a byte that is no character. Of
+segmentations with equal scores, the one with fewer tokens counts.
+
+Null texts and texts without a word have no tokens. Very long texts and words are read whole; a node looks back
+by the longest piece only. Repeated rows count alike. Rows keep all their columns; the new one gets underscores
+before its name if that is taken.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelattice.llm.common import table
+from cuelattice.llm.common import free_name, table
 
 MARK = "▁"
 #: Segmentations that a worker keeps between batches.
 KEPT = 250_000
-COUNTED = "struct<n_pretokens:long,n_tokens:long,log_prob:double>"
+COUNTED = "struct<n_pretokens:long,zipf_tokens:long,zipf_log_prob:double>"
 
 
 class Unigram:
@@ -48,18 +52,21 @@ class Unigram:
         self.suffixes = {p[i:] for p in self.pieces for i in range(len(p))}
         self.known: dict[str, tuple[int, float]] = {}
 
-    def node(self, prefix: str, path: list[tuple[float, int]]) -> tuple[float, int]:
-        """Score and count at the node of ``prefix``, from those of all shorter prefixes (path[0]: the empty one)."""
-        n, get, suffixes = len(prefix), self.pieces.get, self.suffixes
-        spelt = len(prefix[-1].encode())
-        score, count = path[n - 1]
+    def node(self, ending: str, path: list[tuple[float, int]]) -> tuple[float, int]:
+        """Score and count at a node, from those of all shorter prefixes (path[0]: the empty one).
+
+        ``ending``: the last characters of the node's prefix, as many as the longest piece has if there are.
+        """
+        n, get, suffixes = len(ending), self.pieces.get, self.suffixes
+        spelt = len(ending[-1].encode("utf-8", "surrogateescape"))
+        score, count = path[-1]
         best, tokens = score + spelt * self.byte, count + spelt
-        for k in range(n - 1, max(-1, n - 1 - self.longest), -1):
-            ending = prefix[k:]
-            if ending not in suffixes:
+        for k in range(n - 1, -1, -1):
+            piece = ending[k:]
+            if piece not in suffixes:
                 break
-            if (p := get(ending)) is not None:
-                score, count = path[k]
+            if (p := get(piece)) is not None:
+                score, count = path[k - n]
                 score += p
                 if score > best + 1e-9 or (score > best - 1e-9 and count + 1 < tokens):
                     best, tokens = score, count + 1
@@ -68,14 +75,14 @@ class Unigram:
     def segment(self, pretokens: list[str]) -> None:
         """Segments the given pre-tokens."""
         path, last = [(0.0, 0)], ""
-        node, known = self.node, self.known
+        node, known, longest = self.node, self.known, self.longest
         for word in sorted(pretokens):
             common, most = 0, min(len(last), len(word))
             while common < most and last[common] == word[common]:
                 common += 1
             del path[common + 1 :]
             for i in range(common, len(word)):
-                path.append(node(word[: i + 1], path))
+                path.append(node(word[max(0, i + 1 - longest) : i + 1], path))
             score, count = path[-1]
             known[word] = (count, score)
             last = word
@@ -87,13 +94,13 @@ class Unigram:
         get, out = self.known.__getitem__, []
         for words in split:
             found = list(map(get, words))
-            out.append({"n_pretokens": len(words), "n_tokens": sum(c for c, _ in found), "log_prob": math.fsum(s for _, s in found)})
+            out.append({"n_pretokens": len(words), "zipf_tokens": sum(c for c, _ in found), "zipf_log_prob": math.fsum(s for _, s in found)})
         if len(self.known) > KEPT:
             self.known.clear()
         return out
 
     def segment_bytes(self, words: set[bytes]) -> None:
-        spelled = {MARK + w.decode("utf-8", "replace"): w for w in words}
+        spelled = {MARK + w.decode("utf-8", "surrogateescape"): w for w in words}
         self.segment(list(spelled))
         for s, w in spelled.items():
             self.known[w] = self.known.pop(s)
@@ -113,18 +120,18 @@ def counter(path: str) -> Callable:
         for part in np.unique(ends):  # about two megabytes at a time
             a, b = np.searchsorted(ends, [part, part + 1])
             out += model.count(data[a:b])
-        return pa.array(out, pa.struct([("n_pretokens", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())]))
+        return pa.array(out, pa.struct([("n_pretokens", pa.int64()), ("zipf_tokens", pa.int64()), ("zipf_log_prob", pa.float64())]))
 
     return counted
 
 
 def count_tokens(docs: DataFrame, model_path: str, text: str = "text", to: str = "tokens") -> DataFrame:
-    """``docs`` with struct ``to``: n_pretokens, n_tokens, log_prob (natural logarithm). Nothing is shuffled."""
-    return docs.withColumn(to, counter(model_path)(F.col(text)))
+    """``docs`` with a new struct: n_pretokens, zipf_tokens, zipf_log_prob (natural logarithm). Nothing is shuffled."""
+    return docs.withColumn(free_name(docs, to), counter(model_path)(F.col(text)))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document."""
+    """Token counts of every document by the rank-based unigram model."""
     import public_tokenizers
 
     found = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))

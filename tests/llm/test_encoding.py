@@ -141,7 +141,7 @@ def test_chunks_survive_a_shift():
     assert len(cuts(body) & cuts(shifted)) > 0.8 * len(cuts(body))
 
 
-def test_packing(spark):
+def test_packing(spark, tmp_path):
     df = odd_docs(spark)
     rows = packing.pack(df, BYTES).collect()
     assert all(r.length == 1 << (r.length.bit_length() - 1) and r.length <= 2048 and r.offset == 0 for r in rows)
@@ -154,6 +154,12 @@ def test_packing(spark):
         if i != 3:
             assert np.concatenate(whole[i]).tolist() == reference(BYTES, [t])[0].tolist()
     digests = packing.digest_columns(packing.pack(df, BYTES)).collect()
+    written = packing.bucketed(packing.pack(df, BYTES), str(tmp_path / "packed"))
+    assert sorted(map(tuple, written.collect()), key=repr) == sorted(map(tuple, rows), key=repr)
+    folders = {int(p.name.split("=")[1]) for p in (tmp_path / "packed").glob("length=*")}
+    assert folders == {r.length for r in rows}
+    for n in folders:
+        assert {r.length for r in written.where(f"length = {n}").collect()} == {n}
     assert {(r.doc_id, r.start, r.ids_crc32) for r in digests} == {(r.doc_id, r.start, zlib.crc32(r.ids)) for r in rows}
     assert packing.pack(docs(spark, []), BYTES).count() == 0
 

@@ -18,6 +18,13 @@ def test_odd_rows_and_empty_table(spark):
     assert line_rules.judge(docs(spark, [])).count() == 0
 
 
+def test_clashing_names_and_long_texts(spark):
+    rows = [(i, "a b\n" * 200_000 if i == 0 else "x" * 1_000_000 if i == 1 else "few words", "s", 7, "h", 9) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, host string, row int")
+    got = line_rules.judge(df, keep=("doc_id", "n_words", "host", "row", "text", "source"), clean_text=True).orderBy("doc_id").collect()
+    assert [(r.n_words, r._n_words, r.row, r.host, r.kept) for r in got] == [(7, n, 9, "h", False) for n in (400_000, 1, 2)]
+
+
 def test_frequent_lines_go_and_depleted_documents_too(spark):
     own = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
     common = "Shared  line " + " ".join(f"c{j}" for j in range(100))

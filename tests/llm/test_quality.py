@@ -1,5 +1,7 @@
 """Statistics, the discriminant against its formula, and held-out accuracy."""
 
+import zlib
+
 import numpy as np
 from helpers import ODD, docs, odd_docs
 
@@ -27,6 +29,36 @@ def test_margin_is_the_density_difference():
     assert np.allclose(model.margin(x), dens[1] - dens[0])
 
 
+def test_query_against_plain_formulas(spark):
+    """The registered query's scores from statistics, moments and inverses that are computed here at once."""
+    d, labels = table(spark, SF, "documents").toPandas(), table(spark, SF, "labels").toPandas()
+    x = np.array([q.statistics(t.encode()) for t in d.text])
+    own = labels[[zlib.crc32(str(i).encode()) % 4 != 2 for i in labels.doc_id]]
+    at = {i: k for k, i in enumerate(d.doc_id)}
+    rows, y = x[[at[i] for i in own.doc_id]], own.quality.to_numpy()
+    scatter = [(rows[y == c] - rows[y == c].mean(axis=0)).T @ (rows[y == c] - rows[y == c].mean(axis=0)) for c in (0, 1)]
+    pooled, density = sum(scatter) / len(rows), []
+    for c in (0, 1):
+        n, mean = (y == c).sum(), rows[y == c].mean(axis=0)
+        w = 0.9 * n / (n + len(q.NAMES) + 1)
+        cov = 0.98 * (w * scatter[c] / n + (1 - w) * pooled) + 0.02 * np.diag(np.diag(pooled) + 1e-6)
+        far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        density.append(np.log(n / len(rows)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * far)
+    margin = q.squeezed(density[1] - density[0])
+    score = {r.doc_id: r.score for r in q.op6_quality(spark, SF).collect()}
+    logit = np.array([np.log(score[i] / (1 - score[i])) for i in d.doc_id])
+    inner = np.abs(logit) < 15
+    slope, shift = np.polyfit(margin[inner], logit[inner], 1)
+    assert slope > 0 and np.allclose(logit[inner], slope * margin[inner] + shift, atol=1e-4)
+
+
+def test_clashes_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "x" * 3_000_000, 0.5), (2, "word\n" * 500_000, 0.5)], "doc_id long, text string, SCORE double")
+    vectors = q.with_statistics(df, "text", "x")
+    got = q.scored(vectors, q.Model(0.25)).collect()
+    assert all(r._score == 0.25 and r.SCORE == 0.5 and np.isfinite(r.x).all() for r in got)
+
+
 def test_held_out_accuracy(spark):
     rows = q.op6_quality(spark, SF)
     assert rows.count() == table(spark, SF, "documents").count()

@@ -33,15 +33,23 @@ def test_words():
 def test_nodes_are_shared():
     model, seen = tc.Unigram(PATH), []
     node = model.node
-    model.node = lambda prefix, path: (seen.append(prefix), node(prefix, path))[1]
+    model.node = lambda ending, path: (seen.append(ending), node(ending, path))[1]
     model.segment(["abcd", "abce", "abx", "abcd", "b"])
     assert len(seen) == len(set(seen)) == 7
 
 
+def test_invalid_bytes_and_very_long_words():
+    model = tc.Unigram(PATH)
+    got = model.count([b"a\xff b", b"a\xfe b a\xff", b"x" * 1_000_000, "日本".encode() * 100_000])
+    assert [g["n_pretokens"] for g in got] == [2, 3, 1, 1] and got[0]["zipf_tokens"] < got[1]["zipf_tokens"]
+    per = plain(model, tc.MARK + "x" * 600)[1] - plain(model, tc.MARK + "x" * 300)[1]
+    assert abs(got[2]["zipf_tokens"] - per * 1_000_000 / 300) <= 10
+
+
 def test_documents(spark):
     sf = "/root/testdata/sf0.001"
     model = tc.Unigram(PATH)
-    got = {r.doc_id: r.n_tokens for r in tc.op10_token_counts(spark, sf).collect()}
+    got = {r.doc_id: r.zipf_tokens for r in tc.op10_token_counts(spark, sf).collect()}
     cache = {}
     for r in table(spark, sf, "documents").collect():
         want = 0
@@ -52,6 +60,7 @@ def test_documents(spark):
 
 
 def test_odd_and_empty(spark):
-    got = tc.count_tokens(odd_docs(spark), PATH).collect()
-    assert [r.tokens.n_tokens for r in got[:3]] == [0, 0, 0] and got[6].tokens.n_pretokens == 6000
+    got = tc.count_tokens(odd_docs(spark).withColumn("Tokens", tc.F.lit(7)), PATH).collect()
+    got = [r for r in got if r.Tokens == 7]
+    assert [r._tokens.zipf_tokens for r in got[:3]] == [0, 0, 0] and got[6]._tokens.n_pretokens == 6000
     assert tc.count_tokens(docs(spark, []), PATH).count() == 0
