@@ -44,8 +44,9 @@ from cuelattice.llm.common import column, free_name, sliced, staged, table, text
 SHINGLE, SIMILAR, RADIUS = 5, 0.8, 24
 #: Windows that are fingerprinted at once, and items that are held against a document at once.
 BLOCK, GROUP = 2048, 256
-#: Bits of the seeds' filter: 16 a seed, 2 ** FILTER at most (32 MB), in slices of 2 ** 16.
-FILTER = 28
+#: Bits of the seeds' filter: 2 ** 12 a seed, 2 ** FILTER at most (32 MB), in slices of 2 ** 16; two are on for each
+#: seed, the first of its hash and those SECOND places on.
+FILTER, SECOND = 28, 24
 #: Contaminated texts whose keys are broadcast at most (about 64 bytes each); beyond it they are joined by shuffle.
 BROADCAST = 1_000_000
 
@@ -197,23 +198,27 @@ def seeds_of(items: DataFrame, similar: float) -> DataFrame:
 
 
 def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit for each value of the seeds' first bits, and the number of these bits. The driver gets 32 MB at most."""
-    n = seeds.count()
-    bits = min(FILTER, max(17, math.ceil(math.log2(16 * max(1, n)))))
+    """The filter, and how many bits of a hash choose a place in it. The driver gets 32 MB at most."""
+    bits = min(FILTER, max(20, math.ceil(math.log2(max(1, seeds.count()))) + 12))
 
     def merged(rows: pa.Table) -> pa.Table:
         on = np.zeros(1 << 16, np.uint8)
         on[rows.column("slot").to_numpy() & 0xFFFF] = 1
         return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
 
-    slot = F.shiftrightunsigned("h", 64 - bits)
-    slots = seeds.select(slot.alias("slot")).distinct().withColumn("slice", F.shiftright("slot", 16))
+    both = F.array(F.shiftrightunsigned("h", 64 - bits), F.shiftrightunsigned(F.shiftleft("h", SECOND), 64 - bits))
+    slots = seeds.select(F.explode(both).alias("slot")).distinct().withColumn("slice", F.shiftright("slot", 16))
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in slots.groupBy("slice").applyInArrow(merged, "slice long, bits binary").collect():  # 8 kB each, 4096 at most
         out[r.slice << 13 : (r.slice + 1) << 13] = np.frombuffer(r.bits, np.uint8)
     return out, bits
 
 
+def is_on(known: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether the bits at the given places are on."""
+    return (known[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1) > 0
+
+
 def seeded(docs: DataFrame, text: str, seeds: DataFrame) -> DataFrame:
     """The texts that may hold a seed, once each: key, text, and where which shingle may be one."""
     on, bits = seed_filter(seeds)
@@ -230,8 +235,8 @@ def seeded(docs: DataFrame, text: str, seeds: DataFrame) -> DataFrame:
                 words, met = hashes_of(data), []
                 for k in sizes:
                     h = shingle_hashes(words, k)
-                    slot = h >> np.uint64(64 - bits)
-                    at = np.flatnonzero(known[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    at = np.flatnonzero(is_on(known, h >> np.uint64(64 - bits)))
+                    at = at[is_on(known, h[at] << np.uint64(SECOND) >> np.uint64(64 - bits))]
                     met += [{"k": k, "at": a, "h": x} for a, x in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True)]
                 if met:
                     keys.append(hashlib.md5(data).hexdigest())
