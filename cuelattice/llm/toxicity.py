@@ -126,35 +126,47 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
 def weighted_kernels(words: list[str], letters: dict[int, int], triples: np.ndarray) -> np.ndarray:
     """Weighted sum of each word's normalised kernels with the landmarks that ``triples`` stands for.
 
-    A subsequence's weight depends on its first and last place only, so that it is enough to carry, for each
-    letter and pair of letters, the sum of DECAY ** -first over where they occur so far.
+    A word's subsequences of three letters are few, so each one's weight is looked up; letters that no landmark
+    has share a place without weight.
     """
     size, out, alphabet = len(letters), np.zeros(len(words)), np.array(sorted(letters))
-    flat = triples.reshape(size, -1).astype(np.float32)
+    flat = np.zeros((size + 1,) * 3, np.float32)
+    flat[:size, :size, :size] = triples
+    flat = flat.ravel()
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     for n, rows in by_length.items():
-        for start in range(0, len(rows), 1024):
-            part = np.array(rows[start : start + 1024])
-            plain = codes([words[i] for i in part.tolist()], n, -1)
-            own = weighed((plain.T[:, None, :] == plain.T[None, :, :]).astype(np.float32))
+        for start in range(0, len(rows), 4096):
+            part = np.array(rows[start : start + 4096])
+            plain = codes([words[i] for i in part.tolist()], n, -1).T
             place = np.minimum(np.searchsorted(alphabet, plain), size - 1)
-            seen = np.where(alphabet[place] == plain, place, -1)
-            one, two = np.zeros((len(part), size), np.float32), np.zeros((len(part), size, size), np.float32)
+            seen = np.where(alphabet[place] == plain, place, size).astype(np.int32)
             total = np.zeros(len(part), np.float32)
-            for i in range(n):
-                order = np.argsort(seen[:, i], kind="stable")
-                have, first = np.unique(seen[order, i], return_index=True)
-                for c, r in zip(have.tolist(), np.split(order, first[1:]), strict=True):
-                    if c >= 0:
-                        total[r] += DECAY ** (i + 1) * (two[r].reshape(len(r), -1) @ flat[c])
-                        two[r, c] += one[r]
-                        one[r, c] += DECAY**-i
-            out[part] = total / np.sqrt(np.maximum(own, 1e-30))
+            for j in range(1, n - 1):
+                ending = seen[j] * np.int32(size + 1) + seen[j + 1 :] * np.int32((size + 1) ** 2)
+                for i in range(j):
+                    found = flat[ending + seen[i]]
+                    total += (np.float32(DECAY) ** np.arange(j + 2 - i, n + 1 - i, dtype=np.float32)) @ found
+            out[part] = total / np.sqrt(own_kernels(plain))
     return out
 
 
+def own_kernels(plain: np.ndarray) -> np.ndarray:
+    """Kernel of each word (a column of letters, edges included) with itself.
+
+    Where letters don't repeat but for the edges, it depends on the length alone.
+    """
+    n = len(plain)
+    ordered = np.sort(plain[1:-1], axis=0)
+    same = (ordered[1:] == ordered[:-1]).any(axis=0) | (plain[:1] != ord(EDGE)).any(axis=0) | (plain[-1:] != ord(EDGE)).any(axis=0) | (plain[1:-1] == ord(EDGE)).any(axis=0)
+    out = np.full(plain.shape[1], sum(DECAY ** (2 * (k - i + 1)) * (k - i - 1) for i in range(n) for k in range(i + 2, n)), np.float32)
+    for start in range(0, int(same.sum()), 1024):
+        at = np.flatnonzero(same)[start : start + 1024]
+        out[at] = weighed((plain[:, None, at] == plain[None, :, at]).astype(np.float32))
+    return np.maximum(out, 1e-30)
+
+
 @dataclass
 class Model:
     """Landmarks with their weights, and the map from a margin to a probability."""
