@@ -19,6 +19,8 @@ import numpy as np
 _KEPT_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _KEPT_BYTES))}
 
+SPELT_SPACE = chr(BYTE_ALPHABET[32])
+
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 PUNCT = r"!-&(-/:-@\[-`{-~"  # ASCII without the apostrophe, which begins contractions
 #: A piece of plain characters, with at most one space before it and single line ends inside.
@@ -36,15 +38,6 @@ WHOLE = "\0"
 KEPT = 500_000
 
 
-class Layered(dict):
-    """A dictionary that looks into ``others`` for what it lacks."""
-
-    others: dict[str, bytes]
-
-    def __missing__(self, key: str) -> bytes:
-        return self.others[key]
-
-
 class Encoder:
     """Ids of texts as little-endian bytes of ``dtype``."""
 
@@ -60,8 +53,7 @@ class Encoder:
         self.word_ends = "a</w>" in vocab
         self.spelled = [int(i).to_bytes(self.dtype.itemsize, "little") for i in range(max(vocab.values()) + 1)]
         self.find = (ENDS if self.word_ends else STARTS).findall
-        self.kept = Layered()
-        self.recent: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -89,24 +81,22 @@ class Encoder:
 
     def pretoken_ids(self, pretoken: str) -> bytes:
         """The model's ids of one pre-token, given in the byte alphabet of the vocabulary."""
-        spelt = pretoken.encode().decode("latin-1").translate(BYTE_ALPHABET)
+        if pretoken.isascii() and pretoken.isprintable():
+            spelt = pretoken.replace(" ", SPELT_SPACE)
+        else:
+            spelt = pretoken.encode().decode("latin-1").translate(BYTE_ALPHABET)
         return b"".join([self.spelled[t.id] for t in self.tokenizer.model.tokenize(spelt)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Keys met in two calls are kept longest."""
+        """The ids of each text."""
         found = [None if self.added.search(t) else self.keys(t) for t in texts]
-        kept, recent = self.kept, self.recent
-        met = [key for key in set().union(*filter(None, found)) if key not in kept]
-        again = [key for key in met if key in recent]
-        for key in set(met).difference(recent):
-            recent[key] = self.ids(key[1:]) if key[0] == WHOLE else self.pretoken_ids(key)
-        kept.update([(key, recent.pop(key)) for key in again])
-        kept.others = recent
+        kept = self.kept
+        for key in set().union(*filter(None, found)).difference(kept):
+            kept[key] = self.ids(key[1:]) if key[0] == WHOLE else self.pretoken_ids(key)
         get = kept.__getitem__
         out = [self.ids(t) if keys is None else b"".join(map(get, keys)) for t, keys in zip(texts, found, strict=True)]
-        for store in (kept, recent):
-            if len(store) > KEPT:
-                store.clear()
+        if len(kept) > KEPT:
+            kept.clear()
         return out
 
 

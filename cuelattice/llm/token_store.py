@@ -39,7 +39,7 @@ WINDOW, LEAST, USUAL, MOST = 16, 32, 256, 1024
 DIGEST = 16
 #: Bytes of chunks that a task gathers before it sends them on, and bytes of text behind a bucket and a range.
 GATHERED = 16 << 20
-BUCKET, RANGE = 8 << 20, 128 << 20
+BUCKET, RANGE = 4 << 20, 32 << 20
 #: Children of a node of the manifest's tree.
 FAN = 1024
 
