@@ -115,16 +115,27 @@ def best_diagonal(left: DataFrame, right: DataFrame, keys: Sequence[str], token:
     return scored.groupBy(*keys).agg(best.alias("b")).select(*keys, (-F.col("b.s")).alias("shift"), F.col("b.matches").alias("matches"), F.col("b.score").alias("score"))
 
 
-def centroid_margins(df: DataFrame, label: str, vector: str, row: str) -> DataFrame:
-    """Cosine similarity of each vector to its own label's mean direction and to the best other one."""
+def centroid_margins(df: DataFrame, label: str, vector: str, row: str, block: int = 256) -> DataFrame:
+    """Cosine similarity of each vector to its own label's mean direction and to the best other one.
+
+    The mean directions are dealt into blocks of about ``block`` labels, and each vector meets every block once; one
+    block is broadcast, more are joined by their number.
+    """
     unit = F.transform(vector, lambda x: x / F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, y: a + y * y)))
     rows = df.select(row, F.col(label).alias("label"), unit.alias("u"))
     sums = rows.select("label", F.posexplode("u").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     listed = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
     centres = listed.select(F.col("label").alias("centre"), F.transform("c", lambda x: x / F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, y: a + y * y))).alias("c"))
-    together = centres.agg(F.collect_list(F.struct("centre", "c")).alias("all"))  # one row for each label
-    scored = rows.crossJoin(F.broadcast(together)).select(row, "label", F.transform("all", lambda s: F.struct(s["centre"].alias("centre"), dot(F.col("u"), s["c"]).alias("sim"))).alias("sims"))
-    own = F.filter("sims", lambda s: s["centre"] == F.col("label"))[0]["sim"]
+    blocks = -(-rows.select("label").distinct().count() // block)
+    dealt = centres.groupBy(F.pmod(F.xxhash64("centre"), F.lit(max(1, blocks))).alias("block")).agg(F.collect_list(F.struct("centre", "c")).alias("some"))
+    spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, blocks - 1)).cast("long"))))
+    met = spread.join(F.broadcast(dealt) if blocks == 1 else dealt, "block")
+    sims = F.transform("some", lambda s: F.struct(s["centre"].alias("centre"), dot(F.col("u"), s["c"]).alias("sim")))
+    scored = met.select(row, "label", sims.alias("sims"))
+    own = F.get(F.filter("sims", lambda s: s["centre"] == F.col("label")), 0)["sim"]
     other = F.array_max(F.transform(F.filter("sims", lambda s: s["centre"] != F.col("label")), lambda s: s["sim"]))
-    return scored.select(row, "label", F.round(own, 4).alias("own"), F.round(other, 4).alias("other"))
+    best = scored.select(row, "label", own.alias("own"), other.alias("other"))
+    if blocks > 1:
+        best = best.groupBy(row, "label").agg(F.max("own").alias("own"), F.max("other").alias("other"))
+    return best.select(row, "label", F.round("own", 4).alias("own"), F.round("other", 4).alias("other"))

@@ -24,18 +24,35 @@ def periodic_repeats(words: DataFrame, key: str, at: str, word: str, widths: Seq
     return runs.select(key, "width", (F.col("a") - F.col("width")).alias("first_at"), F.col("b").alias("last_at"), repeats.alias("repeats")).where(F.col("repeats") >= least)
 
 
-def even_borders(rows: DataFrame, key: str, order: Sequence[str], size: int, reach: int = 30, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+def placed(rows: DataFrame, key: str, order: Sequence[str], start: str, end: str, stretch_ms: int) -> DataFrame:
+    """key, idx (from 0) and gap to the next row, for rows in ``order``, whose first column is ``start``.
+
+    Rows are numbered within stretches of time, and the stretches' sums shift them, so that no task gets a key whole.
+    """
+    cut = rows.withColumn("_stretch", F.floor(F.col(start) / stretch_ms))
+    sums = cut.groupBy(key, "_stretch").agg(F.count(F.lit(1)).alias("n"), F.min(start).alias("first"))
+    over = Window.partitionBy(key).orderBy("_stretch")
+    before = F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = sums.select(F.col(key).alias("_key"), F.col("_stretch").alias("_at"), before.alias("before"), F.lead("first").over(over).alias("next"))
+    w = Window.partitionBy(key, "_stretch").orderBy(*order)
+    inner = cut.withColumns({"_nth": F.row_number().over(w) - 1, "_lead": F.lead(start).over(w)})
+    met = inner.join(shifted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_at")))
+    return met.select(key, (F.col("before") + F.col("_nth")).alias("idx"), (F.coalesce("_lead", "next") - F.col(end)).alias("gap"))
+
+
+def even_borders(
+    rows: DataFrame, key: str, order: Sequence[str], size: int, reach: int = 30, start: str = "start_ms", end: str = "end_ms", stretch_ms: int = 3_600_000,
+) -> DataFrame:
     """Rows after which a document is cut into near-even parts of about ``size`` rows.
 
     Around each even border, the widest gap within ``reach`` rows is taken, the first on ties.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    placed = rows.withColumns({"idx": F.row_number().over(w) - 1, "gap": F.lead(start).over(w) - F.col(end)}).select(key, "idx", "gap")
+    numbered = placed(rows, key, order, start, end, stretch_ms)
     parts = F.ceil(F.col("n") / size).cast("int")
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts).where("parts > 1")
     targets = sizes.select(key, "n", "parts", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("border"))
     near = targets.select(key, "border", F.explode(F.sequence(-F.lit(reach), F.lit(reach))).alias("off"), F.floor(F.col("border") * F.col("n") / F.col("parts")).alias("t"))
-    met = near.select(key, "border", (F.col("t") + F.col("off")).cast("int").alias("idx")).join(placed.where("gap IS NOT NULL"), [key, "idx"])
+    met = near.select(key, "border", (F.col("t") + F.col("off")).alias("idx")).join(numbered.where("gap IS NOT NULL"), [key, "idx"])
     best = F.max(F.struct("gap", (-F.col("idx")).alias("first")))
     return met.groupBy(key, "border").agg(best.alias("b")).select(key, "border", (-F.col("b.first")).alias("idx"), F.col("b.gap").alias("gap"))
 

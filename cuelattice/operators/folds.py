@@ -1,14 +1,15 @@
 """Ordered passes over the cues of one document, where a row depends on what became of the rows before it.
 
-``per_document`` hands each document's cues, in order, to a small function; documents are the unit of work,
-so memory is bounded by the longest document. Cues are dictionaries with start_ms, end_ms and text.
+``per_document`` hands each document's cues, in order, to a small function, many documents a task; memory is
+bounded by the longest document. Cues are dictionaries with start_ms, end_ms and text.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from itertools import pairwise
 
 import pandas as pd
@@ -24,18 +25,35 @@ Cue = dict[str, object]
 Pass = Callable[[list[Cue]], list[Cue]]
 
 
-def per_document(cues: DataFrame, fold: Pass) -> DataFrame:
-    """``fold`` over each document's cues in order of start, end and idx; idx is given anew."""
+def per_document(cues: DataFrame, fold: Pass, extra: Sequence[str] = ()) -> DataFrame:
+    """``fold`` over each document's cues in order of start, end and idx; idx is given anew, ``extra`` columns stay.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["start_ms", "end_ms", "idx"])[["start_ms", "end_ms", "text"]].to_dict("records")
-        out = fold([r | {"text": r["text"] or ""} for r in rows])
-        found = pd.DataFrame(out, columns=["start_ms", "end_ms", "text"])
-        found.insert(0, "idx", range(len(found)))
-        found.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return found.astype({"text": object, "doc_id": object})
+    A task sorts its documents and passes over them one after the other, so that memory is bounded by the longest.
+    """
+    columns = ["start_ms", "end_ms", "text", *extra]
 
-    return cues.select("doc_id", "idx", "start_ms", "end_ms", "text").groupBy("doc_id").applyInPandas(run, CUES)
+    def folded(doc: str, rows: list[Cue]) -> pd.DataFrame:
+        found = pd.DataFrame(fold(rows), columns=columns)
+        found.insert(0, "idx", range(len(found)))
+        found.insert(0, "doc_id", doc)
+        return found.astype({"text": object, "doc_id": object} | {c: object for c in extra})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, rows = None, []
+        for batch in batches:
+            for key, part in batch.groupby("doc_id", sort=False, dropna=False):
+                if key != doc and rows:
+                    yield folded(doc, rows)
+                    rows = []
+                doc = key
+                rows += [r | {"text": r["text"] or ""} for r in part[columns].to_dict("records")]
+        if rows:
+            yield folded(doc, rows)
+
+    kept = cues.select("doc_id", "idx", *columns)
+    types = dict(kept.dtypes)
+    schema = ", ".join([CUES, *[f"{c} {types[c]}" for c in extra]])
+    return kept.repartition("doc_id").sortWithinPartitions("doc_id", "start_ms", "end_ms", "idx").mapInPandas(run, schema)
 
 
 def monotone(cues: list[Cue], least_ms: int = 1) -> list[Cue]:
@@ -188,7 +206,7 @@ def chained(chunks: DataFrame, overlap_ms: int) -> DataFrame:
     """Cues of overlapping chunks (doc_id, chunk, idx, ...) as one timeline.
 
     Chunks' times follow each other; where two overlap, they are laid over each other at the shift with most
-    equal texts and cut in its middle, or by time if fewer than two agree.
+    equal texts and cut in its middle; if fewer than two agree, the earlier one ends where the later begins.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -204,24 +222,35 @@ def chained(chunks: DataFrame, overlap_ms: int) -> DataFrame:
     return chunks.groupBy("doc_id").applyInPandas(run, CUES)
 
 
+#: What a longer overlap is worth, in equal texts a place, and the equal texts that an alignment needs.
+LONGER, LEAST_EQUAL = 1 / 10_000, 2
+
+
+def best_shift(tail: Sequence[str], head: Sequence[str]) -> int:
+    """How far ``head`` reaches into ``tail`` where the two agree best; 0 where they don't.
+
+    Only places of equal texts are looked at: each votes for the shift that lays it on its equal.
+    """
+    places: dict[str, list[int]] = {}
+    for j, text in enumerate(head):
+        places.setdefault(text, []).append(j)
+    votes = Counter(len(tail) - i + j for i, text in enumerate(tail) for j in places.get(text, ()))
+    worth = {shift: n / shift + shift * LONGER for shift, n in votes.items() if n >= LEAST_EQUAL}
+    return min(worth, key=lambda shift: (-worth[shift], shift), default=0)
+
+
 def laid_over(left: list[Cue], right: list[Cue], overlap_ms: int) -> list[Cue]:
     """Two sequences as one: see ``chained``."""
     if not left or not right or left[-1]["end_ms"] <= right[0]["start_ms"]:
         return left + right
     tail = [c for c in left if c["end_ms"] > left[-1]["end_ms"] - overlap_ms]
     head = [c for c in right if c["start_ms"] < right[0]["start_ms"] + overlap_ms]
-    best = (0.0, 0, 0)
-    for shift in range(1, len(tail) + len(head) + 1):
-        a, b = tail[max(0, len(tail) - shift) :], head[max(0, shift - len(tail)) :]
-        same = sum(x["text"] == y["text"] for x, y in zip(a, b, strict=False))
-        if same >= 2:
-            best = max(best, (same / shift + shift / 10000, -shift, min(len(a), len(b))))
-    if best[2]:
-        shift, n = -best[1], best[2]
-        cut = len(left) - len(tail) + max(0, len(tail) - shift) + n // 2
-        return left[:cut] + right[max(0, shift - len(tail)) + n // 2 :]
-    middle = (left[-1]["end_ms"] + right[0]["start_ms"]) // 2
-    return [c for c in left if c["start_ms"] < middle] + [c for c in right if c["start_ms"] >= middle]
+    shift = best_shift([c["text"] for c in tail], [c["text"] for c in head])
+    if not shift:
+        return [c for c in left if c["start_ms"] < right[0]["start_ms"]] + right
+    in_tail, in_head = max(0, len(tail) - shift), max(0, shift - len(tail))
+    half = min(len(tail) - in_tail, len(head) - in_head) // 2
+    return left[: len(left) - len(tail) + in_tail + half] + right[in_head + half :]
 
 
 def boundary_scores(reference: Sequence[int], found: Sequence[int], within_ms: int) -> dict[str, float]:

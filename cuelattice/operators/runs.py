@@ -39,9 +39,16 @@ def sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap_ms: i
 
 
 def rolling(df: DataFrame, keys: Sequence[str], at: str, value: str, back_ms: int) -> DataFrame:
-    """Number and sum of a key's rows in the ``back_ms`` up to and with each row."""
-    w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-back_ms, 0)
-    return df.withColumns({"window_count": F.count(F.lit(1)).over(w), "window_sum": F.sum(value).over(w)})
+    """Number and sum of a key's rows in the ``back_ms`` up to and with each row.
+
+    A frame reaches into the stretch of ``back_ms`` before its own at most, so each row goes to its stretch and
+    the next, and a key's stretches are counted apart.
+    """
+    own = F.floor(F.col(at) / back_ms)
+    spread = df.withColumn("_own", own).withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy(*keys, "_stretch").orderBy(at).rangeBetween(-back_ms, 0)
+    counted = spread.withColumns({"window_count": F.count(F.lit(1)).over(w), "window_sum": F.sum(value).over(w)})
+    return counted.where(F.col("_own") == F.col("_stretch")).drop("_own", "_stretch")
 
 
 def isolated(df: DataFrame, keys: Sequence[str], order: Sequence[str], away_ms: int, most_ms: int, start: str = "start_ms", end: str = "end_ms") -> DataFrame:

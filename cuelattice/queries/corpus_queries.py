@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cuelattice.functions import text as tx
 from cuelattice.operators import corpus as cp
+from cuelattice.queries.text_queries import _BARE, NOTE_SQL
 from cuelattice.session import table
 
 
@@ -166,7 +167,16 @@ g AS (SELECT source, metric, coalesce(max(v) FILTER (side = 0), 0.0) AS legacy,
 gates AS (SELECT *, round(candidate - legacy, 6) AS delta, CASE WHEN legacy = 0 AND candidate = 0 THEN 0.0 WHEN legacy = 0 THEN -1.0 ELSE round(candidate / legacy, 6) END AS ratio, candidate <= legacy AS passed FROM g)"""
 _T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _ENDS = r"""(regexp_matches(trim(text), '[.!?。！？]["''”’)\]]*$') AND NOT regexp_matches(trim(text), '(\.\.|…)["''”’)\]]*$'))"""
-_BARE = r"""regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', '', 'g'), '^[()（）\[\]【】<>《》“”\"''。，、；;：:！!?]+|[()（）\[\]【】<>《》“”\"''。，、；;：:！!?]+$', '', 'g')"""
+
+_RUNS = "CASE WHEN len({t}) >= {n} THEN list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n} - 1], ' ')) ELSE [] END"
+_CLAIMED = lambda other: "CASE " + " ".join(
+    f"WHEN len(list_filter(list_intersect({_RUNS.format(t='edited', n=n)}, {_RUNS.format(t=other, n=n)}), lambda x: NOT list_contains({_RUNS.format(t='own', n=n)}, x))) > 0 THEN {n}" for n in range(12, 3, -1)
+) + " ELSE 0 END"
+_CLAIMS = f"""WITH c AS (SELECT conv_id, turn, {_T} AS own FROM conversations),
+n AS (SELECT *, lag(own) OVER w AS prev, lead(own) OVER w AS nxt FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+e AS (SELECT *, CASE WHEN turn % 2 = 0 THEN list_concat(own, coalesce(nxt, [])[1:6]) ELSE own END AS edited FROM n),
+f AS (SELECT conv_id, turn, {_CLAIMED('prev')} AS from_previous, {_CLAIMED('nxt')} AS from_next FROM e)
+SELECT * FROM f WHERE from_previous > 0 OR from_next > 0"""
 
 ORACLES = {
     "log_rollup": f"""WITH {_ROLL} SELECT g.*, stages, models, CASE WHEN prompt_tokens > 0 THEN round_even(cached_tokens / prompt_tokens, 4) ELSE 0.0 END AS cache_hit_rate FROM g JOIN ss USING (group_id) JOIN mm USING (group_id)""",
@@ -176,7 +186,7 @@ ORACLES = {
     "corpus_rollup": """SELECT source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, count(quality) AS labelled, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality = 0) AS low, count(DISTINCT lang) AS langs
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
     "defect_index_lists": f"""SELECT conv_id, coalesce(string_agg(CASE WHEN length(text) > 400 THEN turn END, ',' ORDER BY turn), '') AS long, coalesce(string_agg(CASE WHEN NOT {_ENDS} THEN turn END, ',' ORDER BY turn), '') AS open,
-  coalesce(string_agg(CASE WHEN {_BARE} = '' OR regexp_matches({_BARE}, '{tx.NOTE}') THEN turn END, ',' ORDER BY turn), '') AS notes FROM conversations GROUP BY conv_id""",
+  coalesce(string_agg(CASE WHEN {NOTE_SQL} THEN turn END, ',' ORDER BY turn), '') AS notes FROM (SELECT *, {_BARE} AS bare FROM conversations) GROUP BY conv_id""",
     "percentile_stats": """SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.05), 6) AS p5, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.95), 6) AS p95 FROM documents GROUP BY lang""",
     "legacy_candidate_compare": f"WITH {_GATES} SELECT * FROM gates",
     "admission_gate": f"""WITH {_GATES}, x AS (SELECT source, coalesce(string_agg(CASE WHEN NOT passed THEN metric END, ',' ORDER BY metric), '') AS failed, count(*) FILTER (NOT passed) AS n_failed, bool_or(metric = 'toxic' AND NOT passed) AS hard FROM gates GROUP BY source)
@@ -189,6 +199,7 @@ n AS (SELECT vec_id, sqrt(sum(CAST(x AS DOUBLE) * x)) AS z FROM e GROUP BY 1), u
 c0 AS (SELECT label AS centre, i, avg(x) AS x FROM u GROUP BY ALL), cz AS (SELECT centre, sqrt(sum(x * x)) AS z FROM c0 GROUP BY 1), c AS (SELECT centre, i, x / z AS x FROM c0 JOIN cz USING (centre)),
 s AS (SELECT vec_id, label, centre, sum(u.x * c.x) AS sim FROM u JOIN c USING (i) GROUP BY ALL)
 SELECT vec_id, label, round(max(sim) FILTER (label = centre), 4) AS own, round(max(sim) FILTER (label <> centre), 4) AS other FROM s GROUP BY ALL""",
+    "cross_key_overlap": _CLAIMS,
     "confusion_counts": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL",
     "diagonal_alignment": f"""WITH w AS (SELECT conv_id, turn, unnest({_T}) AS w, generate_subscripts({_T}, 1) - 1 AS i FROM conversations), nl AS (SELECT conv_id, turn, max(i) + 1 AS n FROM w GROUP BY ALL),
 p AS (SELECT a.conv_id, a.turn, nl.n - a.i + b.i AS shift FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn AND a.w = b.w JOIN nl ON nl.conv_id = a.conv_id AND nl.turn = a.turn),

@@ -59,13 +59,23 @@ def timestamp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("event_id", tx.parse_clock(F.col("srt")).alias("from_srt"), tx.parse_clock(F.col("ass")).alias("from_ass"), tx.parse_clock(F.substring("vtt", 4, 9)).alias("short"), tx.parse_clock(F.concat(F.lit("7:"), odd)).alias("bad"))
 
 
+def run_lengths(items: Column) -> Column:
+    """Longest run of equal items, all in the row."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"].eqNullSafe(x), acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    return F.aggregate(items, start, step, lambda acc: acc["most"])
+
+
 def severe_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with 12 tokens or more of which 8 in a row are equal, or 12 and 60 % in all."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.tokens(col())).alias("i", "w"))
-    runs = words.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "w").orderBy("i")))
-    run = runs.groupBy("doc_id", "w", "island").agg(F.count(F.lit(1)).alias("run"))
-    per_word = run.groupBy("doc_id", "w").agg(F.max("run").alias("run"), F.sum("run").alias("n"))
-    doc = per_word.groupBy("doc_id").agg(F.max("run").alias("longest_run"), F.max("n").alias("peak"), F.sum("n").alias("n_tokens"))
+    """Documents with 12 tokens or more of which 8 in a row are equal, or 12 and 60 % in all; nothing is shuffled."""
+    words = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(col()).alias("t")).where(F.size("t") > 0)
+    doc = words.select(
+        "doc_id", run_lengths(F.col("t")).cast("long").alias("longest_run"), run_lengths(F.array_sort("t")).cast("long").alias("peak"), F.size("t").cast("long").alias("n_tokens"),
+    )
     severe = (F.col("n_tokens") >= 12) & ((F.col("longest_run") >= 8) | ((F.col("peak") >= 12) & (F.col("peak") >= 0.6 * F.col("n_tokens"))))
     return doc.withColumn("severe", severe)
 
@@ -89,11 +99,12 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-token runs that occur once in a document, counted."""
-    arr = tx.tokens(col())
-    grams = table(spark, sf_dir, "documents").select("doc_id", arr.alias("t")).where(F.size("t") >= 3).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("t") - 3), lambda i: F.concat_ws(" ", F.get("t", i), F.get("t", i + 1), F.get("t", i + 2)))).alias("g"))
-    once = grams.groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("n"))
-    return once.groupBy("doc_id").agg(F.count_if(F.col("n") == 1).alias("unique_runs"), F.count(F.lit(1)).alias("distinct_runs"))
+    """Three-token runs that occur once in a document, counted; nothing is shuffled."""
+    t = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(col()).alias("t")).where(F.size("t") >= 3)
+    runs = F.transform(F.sequence(F.lit(0), F.size("t") - 3), lambda i: F.concat_ws(" ", F.get("t", i), F.get("t", i + 1), F.get("t", i + 2)))
+    ordered = t.select("doc_id", F.array_sort(runs).alias("r"))
+    alone = F.filter("r", lambda x, i: ~F.coalesce(F.get("r", i - 1) == x, F.lit(False)) & ~F.coalesce(F.get("r", i + 1) == x, F.lit(False)))
+    return ordered.select("doc_id", F.size(alone).cast("long").alias("unique_runs"), F.size(F.array_distinct("r")).cast("long").alias("distinct_runs"))
 
 
 QUERIES = {
@@ -112,7 +123,9 @@ _CLOCK = "lpad(CAST(ms // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST(ms /
 _ASS = "CAST(ms // 3600000 AS VARCHAR) || ':' || lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(ms % 1000 // 10 AS VARCHAR), 2, '0')"
 _SCRIPTS = "concat_ws(','," + ",".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in tx.SCRIPTS.items()) + ")"
 _FILLERS = ", ".join(f"'{f}'" for f in tx.FILLERS)
-_EDGE = r"[()（）\[\]【】<>《》“”\"''。，、；;：:！!?]+"
+_BARE = "trim(lower(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', '', 'g')), '" + tx.AROUND.replace("'", "''") + "')"
+_ANY = lambda f, xs: "(" + " OR ".join(f"{f}(bare, '{x}')" for x in xs) + ")"
+NOTE_SQL = f"(bare IN ({', '.join(repr(x) for x in ('', *tx.NOTES))}) OR {_ANY('starts_with', tx.HELD_THERE)} AND {_ANY('suffix', tx.CUE_BEFORE)} OR {_ANY('starts_with', tx.CUE_BEFORE)} AND {_ANY('suffix', tx.HELD_THERE)})"
 _SPACED = f"regexp_replace(text, '{tx.UNSPACED}', ' ', 'g')"
 
 ORACLES = {
@@ -124,8 +137,8 @@ ORACLES = {
     "token_features": rf"""SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({_TOKENS})) AS BIGINT) AS n_distinct,
   CAST(len(regexp_extract_all(text, '{tx.NUMBER}')) AS BIGINT) AS n_numbers, CAST(len(regexp_extract_all(text, '{tx.IDENTIFIER}')) AS BIGINT) AS n_identifiers,
   regexp_matches(trim(text), '[.!?。！？]["''”’)\]]*$') AND NOT regexp_matches(trim(text), '(\.\.|…)["''”’)\]]*$') AS ends_sentence FROM documents""",
-    "note_and_leak_flags": rf"""WITH c AS (SELECT conv_id, turn, text, regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', '', 'g'), '^{_EDGE}|{_EDGE}$', '', 'g') AS bare FROM conversations)
-SELECT conv_id, turn, bare = '' OR regexp_matches(bare, '{tx.NOTE}') AS note, regexp_matches(text, '{tx.LEAK}') AS leak FROM c""",
+    "note_and_leak_flags": f"""WITH c AS (SELECT conv_id, turn, {_BARE} AS bare, regexp_replace(lower(text), '[ \\t\\r\\n]+', '', 'g') AS low FROM conversations)
+SELECT conv_id, turn, {NOTE_SQL} AS note, {' OR '.join(f"contains(low, '{x}')" for x in tx.LEAKS)} AS leak FROM c""",
     "filler_filter": rf"""WITH c AS (SELECT *, length(text) * 40 AS ms, regexp_replace(lower(trim(text)), '[.,!?。，！？]+$', '') AS bare FROM conversations)
 SELECT conv_id, turn, CAST(ms AS BIGINT) AS ms FROM c WHERE NOT (ms < 500 AND (length(bare) < 3 OR bare IN ({_FILLERS})))""",
     "markup_strip": f"SELECT page_id, CAST(length({_STRIP}) AS BIGINT) AS n_chars, md5({_STRIP}) AS digest FROM pages",

@@ -46,9 +46,13 @@ def lines_of(text: Column) -> Column:
 
 
 def bilingual(df: DataFrame, body: Column) -> DataFrame:
-    """text, translated and speaker from a cue's lines: the second line is the translation if its script differs."""
+    """text, translated and speaker from a cue's lines: the second line is the translation if its script differs.
+
+    The first line's label is taken off every line that has it.
+    """
     speaker = F.regexp_extract(body, SPEAKER, 1)
-    rest = F.filter(F.split(F.regexp_replace(body, SPEAKER, ""), "\n"), lambda x: F.trim(x) != "")
+    own = lambda x: F.when((speaker != "") & (F.regexp_extract(x, SPEAKER, 1) == speaker), F.regexp_replace(x, SPEAKER, "")).otherwise(x)
+    rest = F.filter(F.transform(F.split(body, "\n"), own), lambda x: F.trim(x) != "")
     family = lambda x: F.when(x.rlike(tx.SCRIPTS["kana"]), "kana").when(x.rlike(tx.SCRIPTS["hangul"]), "hangul").when(x.rlike(tx.SCRIPTS["han"]), "han").otherwise("latin")
     first = F.get(rest, 0)
     same = F.filter(rest, lambda x: family(x) == family(first))

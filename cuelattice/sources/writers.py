@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelattice.functions import text as tx
+from cuelattice.operators.folds import monotone, per_document
 
 LAYOUTS = ("original_on_top", "translation_on_top", "only_original", "only_translation")
 ASS_HEAD = (
@@ -68,7 +69,7 @@ def to_ass(cues: DataFrame, layout: str = "translation_on_top") -> DataFrame:
     """A row a cue, or two for both languages: the lower one in style Secondary."""
     upper = F.col("translated") if layout == "translation_on_top" else F.col("text")
     lower = F.col("text") if layout == "translation_on_top" else F.col("translated")
-    row = lambda style, text: F.concat(F.lit("Dialogue: 0,"), tx.ass_clock(F.col("start_ms")), F.lit(","), tx.ass_clock(F.col("end_ms")), F.lit(f",{style},,0,0,0,,"), F.regexp_replace(text, "\n", r"\\\\N"))
+    row = lambda style, text: F.concat(F.lit("Dialogue: 0,"), tx.ass_clock(F.col("start_ms")), F.lit(","), tx.ass_clock(F.col("end_ms")), F.lit(f",{style},,0,0,0,,"), F.regexp_replace(text, "\n", r"\\N"))
     both = (F.coalesce("translated", F.lit("")) != "") & F.lit(not layout.startswith("only"))
     return joined(cues, F.when(both, F.concat(row("Secondary", lower), F.lit("\n"), row("Default", upper))).otherwise(row("Default", shown(layout))), "\n", ASS_HEAD)
 
@@ -92,5 +93,5 @@ FORMATS = {"srt": to_srt, "vtt": to_vtt, "txt": to_txt, "ass": to_ass, "json": t
 
 
 def save(cues: DataFrame, path: str, extension: str, **options: str) -> None:
-    """One folder a document, its rendered file inside."""
-    FORMATS[extension](cues, **options).write.partitionBy("doc_id").text(path)
+    """One folder a document, its rendered file inside; cues that overlap are cut apart before."""
+    FORMATS[extension](per_document(cues, monotone, ("translated", "speaker")), **options).write.partitionBy("doc_id").text(path)
