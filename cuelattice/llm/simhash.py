@@ -195,11 +195,6 @@ def link_edges(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     return compared_rows(candidate_rows(fps, radius, blocks), radius)
 
 
-def link_edges_by(keys: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) between the fingerprints that share a key of ``keys`` (fp, key), as ``link_edges``."""
-    return compared_rows(dealt_rows(keys), radius)
-
-
 def compared_rows(rows: DataFrame, radius: int) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = ["key", "low", "high"]
