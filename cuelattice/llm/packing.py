@@ -58,10 +58,19 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, most: int = 2048
     return rows.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
-def bucketed(packed: DataFrame, path: str) -> DataFrame:
-    """The pieces as written under ``path``, a folder for each length, and read back."""
-    packed.write.option("compression", "zstd").partitionBy("length").parquet(path)
-    return packed.sparkSession.read.schema(packed.schema).parquet(path).select(*packed.columns)
+def bucketed(packed: DataFrame, path: str, most: int = 2048) -> DataFrame:
+    """The pieces as written under ``path``, a folder for each length up to ``most``, and read back.
+
+    A task keeps a file open for each length, so that it need not sort its pieces.
+    """
+    spark, name = packed.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most.bit_length()))
+    try:
+        packed.write.option("compression", "snappy").partitionBy("length").parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(packed.schema).parquet(path).select(*packed.columns)
 
 
 def digest_columns(packed: DataFrame) -> DataFrame:
