@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cuelattice.llm import decontamination, language, line_rules, lm_score, packing, quality, simhash, token_counts, token_store, toxicity
+from cuelattice.llm import decontamination, fill_middle, language, line_rules, lm_score, packing, quality, simhash, token_counts, token_store, toxicity
 
-MODULES = (token_store, decontamination, lm_score, language, packing, quality, line_rules, toxicity, simhash, token_counts)
+MODULES = (token_store, decontamination, lm_score, language, packing, quality, line_rules, toxicity, simhash, token_counts, fill_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
