@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cuelattice.llm import decontamination, fill_middle, language, line_rules, lm_score, packing, quality, simhash, token_counts, token_store, toxicity, vector_codes
+from cuelattice.llm import decontamination, fill_middle, language, line_rules, lm_score, packing, quality, simhash, spot_signatures, token_counts, token_store, toxicity, vector_codes
 
-MODULES = (token_store, decontamination, lm_score, language, packing, quality, line_rules, toxicity, simhash, token_counts, vector_codes, fill_middle)
+MODULES = (token_store, decontamination, lm_score, language, packing, quality, line_rules, toxicity, simhash, token_counts, spot_signatures, vector_codes, fill_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
