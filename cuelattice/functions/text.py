@@ -41,8 +41,8 @@ LEAKS = (
 #: Whole notes that stand where a translation should, and words by which a note names the cue before
 #: and says that it holds this one.
 NOTES = (
-    "sameasabove", "omitted", "mergedprevious", "mergedabove", "mergedwithprevious", "mergedwithabove", "mergedwiththeprevious",
-    "mergedintoprevious", "mergedintoabove", "mergedintotheprevious", "同上", "见上", "略", "省略", "无需翻译", "不单独翻译", "内容同上", "内容省略",
+    "sameasabove", "omitted", *[f"merged{how}{the}{where}" for how in ("", "with", "into") for the in ("", "the") for where in ("previous", "above")],
+    "同上", "见上", "略", "省略", "无需翻译", "不单独翻译", "内容同上", "内容省略",
 )
 CUE_BEFORE = ("上一句", "上句", "上一条", "上条", "前一句", "前一条", "前文", "前面")
 HELD_THERE = ("合并", "并入", "接上", "延续", "已译", "包含")
@@ -220,9 +220,19 @@ REQUIRED = {
     "ja": r"[\x{3040}-\x{30ff}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]",
     "ko": r"[\x{1100}-\x{11ff}\x{3130}-\x{318f}\x{ac00}-\x{d7af}]",
 }
-ADDRESS = r"^[ ]*(https?://)?[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+([ ]*/[ ]*[A-Za-z0-9_-]+)*[.!]?[ ]*$"
+NAME_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789-"
+
+
+def is_address(text: Column) -> Column:
+    """Whether a text is just a web address: a name with a dot or more, then a path, which may have spaces around its slashes."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[ \t]*/[ \t]*", "/"), "^https?://|[.!?]$", "")
+    steps = F.split(bare, "/")
+    only = lambda x, letters: (x != "") & (F.translate(x, letters, "") == "")
+    name = F.split(steps[0], r"\.")
+    path = F.slice(steps, F.lit(2), F.size(steps) - 1)
+    return (F.size(name) > 1) & F.forall(name, lambda x: only(x, NAME_LETTERS)) & F.forall(path, lambda x: only(x, NAME_LETTERS + "_"))
 
 
 def is_untranslated(output: Column, source: Column, target: str) -> Column:
     """Whether an output lacks the script of ``target`` although its source has words; a bare address needs none."""
-    return ~F.coalesce(output, F.lit("")).rlike(REQUIRED[target]) & source.rlike(r"\p{L}") & ~source.rlike(ADDRESS)
+    return ~F.coalesce(output, F.lit("")).rlike(REQUIRED[target]) & source.rlike(r"\p{L}") & ~is_address(source)

@@ -25,18 +25,20 @@ def word_level(cues: DataFrame, keys: Sequence[str], share: float = 0.8) -> Data
 
 
 def clipped(cues: DataFrame, media_ms: Column) -> DataFrame:
-    """Cues that begin within the media, cut at its end."""
-    cut = cues.withColumn("end_ms", F.least("end_ms", media_ms))
-    return cut.where((F.col("start_ms") < media_ms) & (F.col("end_ms") > F.col("start_ms")))
+    """Cues that begin within the media, cut at its end; all as they are where its length is null or not above 0."""
+    unknown = media_ms.isNull() | (media_ms <= 0)
+    inside = (F.col("start_ms") < media_ms) & (F.least(F.col("end_ms"), media_ms) > F.col("start_ms"))
+    return cues.where(unknown | inside).withColumn("end_ms", F.when(unknown, F.col("end_ms")).otherwise(F.least("end_ms", media_ms)))
 
 
 def time_groups(cues: DataFrame, keys: Sequence[str], order: Sequence[str], gap_ms: int, labels: Sequence[str] = (), most: int = 0) -> DataFrame:
-    """Groups of cues with a new one after a gap of over ``gap_ms`` and where one of ``labels`` changes; null labels never do.
+    """Groups of cues with a new one after a gap of over ``gap_ms`` and where one of ``labels`` changes from the last known one; null labels never do.
 
     Returns keys, group, start_ms, end_ms, members. With ``most``, groups of more cues are cut into even parts of that many at most.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    changed = [F.coalesce(F.lag(c).over(w) != F.col(c), F.lit(False)) for c in labels]
+    known = w.rowsBetween(Window.unboundedPreceding, -1)
+    changed = [F.coalesce(F.last(c, ignorenulls=True).over(known) != F.col(c), F.lit(False)) for c in labels]
     new = F.lag("end_ms").over(w).isNull() | (F.col("start_ms") - F.lag("end_ms").over(w) > gap_ms)
     for c in changed:
         new = new | c
