@@ -51,15 +51,17 @@ def below_thousand(n: Column) -> Column:
 
 
 def spelled(digits: Column) -> Column:
-    """A string of digits in English words: thousands and millions, and all above as so many billions."""
+    """A string of digits in English words: thousands and millions, and all above as so many billions.
+
+    Groups of three digits are elements of an array, so that the words of a group are one expression, whatever its place.
+    """
     padded = F.lpad(digits, DIGITS, "0")
-    group = lambda i: F.substring(padded, 3 * i + 1, 3).cast("int")
-    scales = (" million", " thousand", "") * 2
-    parts = [F.when(group(i) > 0, F.concat(below_thousand(group(i)), F.lit(s))) for i, s in enumerate(scales)]
-    billions = F.when(F.substring(padded, 1, 9) != "0" * 9, F.lit("billion"))
-    words = F.concat_ws(" ", *parts[:3], billions, *parts[3:])
+    billions = F.substring(padded, 1, 9) != "0" * 9
+    groups = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring(padded, 3 * i + 1, F.lit(3)).cast("int"))
+    scale = lambda n, i: F.when((n > 0) & (i % 3 == 0), "million").when((n > 0) & (i % 3 == 1), "thousand").when((i == 2) & billions, "billion")
+    words = F.transform(groups, lambda n, i: F.concat_ws(" ", F.nullif(below_thousand(n), F.lit("")), scale(n, i)))
     bare = F.regexp_replace(digits, r"^0+(?=\d)", "")
-    return F.when(F.length(bare) <= DIGITS, F.when(bare == "0", F.lit(SMALL[0])).otherwise(F.regexp_replace(words, r" +", " ")))
+    return F.when(F.length(bare) <= DIGITS, F.when(bare == "0", F.lit(SMALL[0])).otherwise(F.array_join(F.filter(words, lambda w: w != ""), " ")))
 
 
 def number_words(value: Column, years: bool = True) -> Column:
@@ -67,15 +69,19 @@ def number_words(value: Column, years: bool = True) -> Column:
 
     Fractions are read digit by digit. With ``years``, four digits from 1900 to 2099 are read as a year.
     """
-    compact = F.replace(value, F.lit(","), F.lit(""))
-    whole, fraction = F.split_part(compact, F.lit("."), F.lit(1)), F.split_part(compact, F.lit("."), F.lit(2))
-    digit_words = F.array_join(F.transform(F.filter(F.split(fraction, ""), lambda d: d != ""), lambda d: named(SMALL, d)), " ")
-    first, second = F.substring(compact, 1, 2), F.substring(compact, 3, 2)
-    year = F.when(second == "00", F.concat(spelled(first), F.lit(" hundred"))).when(compact.startswith("200"), F.concat(F.lit("two thousand "), spelled(second)))
-    as_year = compact.rlike(r"^\d{4}$") & compact.between(*map(str, YEARS)) & F.lit(years)
-    read = F.when(as_year, F.coalesce(year, F.concat_ws(" ", spelled(first), spelled(second))))
-    read = read.when(compact.contains("."), F.concat(spelled(whole), F.lit(" point "), digit_words)).otherwise(spelled(compact))
-    return F.when(compact.rlike(rf"^{NUMBER}$"), read)
+    def read(compact: Column) -> Column:
+        whole, fraction = F.split_part(compact, F.lit("."), F.lit(1)), F.split_part(compact, F.lit("."), F.lit(2))
+        first, second = F.substring(compact, 1, 2), F.substring(compact, 3, 2)
+        year = compact.rlike(r"^\d{4}$") & compact.between(*map(str, YEARS)) & F.lit(years)
+        hundred, thousand = year & (second == "00"), year & (second != "00") & compact.startswith("200")
+        parts = F.when(hundred, F.array(first)).when(thousand, F.array(second)).when(year, F.array(first, second)).otherwise(F.array(whole))
+        words = F.array_join(F.transform(parts, spelled), " ", "\0")
+        digit_words = F.array_join(F.transform(F.filter(F.split(fraction, ""), lambda d: d != ""), lambda d: named(SMALL, d)), " ")
+        told = F.when(hundred, F.concat(words, F.lit(" hundred"))).when(thousand, F.concat(F.lit("two thousand "), words))
+        told = told.when(fraction != "", F.concat(words, F.lit(" point "), digit_words)).otherwise(words)
+        return F.when(compact.rlike(rf"^{NUMBER}$") & ~words.contains("\0"), told)
+
+    return F.transform(F.array(F.replace(value, F.lit(","), F.lit(""))), read)[0]
 
 
 def small_number(text: Column) -> Column:
