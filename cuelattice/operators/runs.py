@@ -39,16 +39,24 @@ def sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap_ms: i
 
 
 def rolling(df: DataFrame, keys: Sequence[str], at: str, value: str, back_ms: int) -> DataFrame:
-    """Number and sum of a key's rows in the ``back_ms`` up to and with each row.
+    """Number and sum of a key's rows in the ``back_ms`` up to and with each row; ``value`` is a whole or decimal number.
 
-    A frame reaches into the stretch of ``back_ms`` before its own at most, so each row goes to its stretch and
-    the next, and a key's stretches are counted apart.
+    A frame reaches into the stretch of ``back_ms`` before its own at most, so a key's stretches are counted apart. A
+    stretch starts with the totals of the one before, each row adds itself when it comes, and takes itself off in the next
+    stretch when it leaves the frames: one running sum, whose cost doesn't grow with the rows of a frame. Rows without a time are left out.
     """
-    own = F.floor(F.col(at) / back_ms)
-    spread = df.withColumn("_own", own).withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    w = Window.partitionBy(*keys, "_stretch").orderBy(at).rangeBetween(-back_ms, 0)
-    counted = spread.withColumns({"window_count": F.count(F.lit(1)).over(w), "window_sum": F.sum(value).over(w)})
-    return counted.where(F.col("_own") == F.col("_stretch")).drop("_own", "_stretch")
+    timed = df.withColumn("_stretch", F.floor(F.col(at) / back_ms)).where(F.col("_stretch").isNotNull())
+    some = F.when(F.col(value).isNotNull(), 1).otherwise(0)
+    own = timed.select("*", F.col(at).alias("_at"), F.lit(1).alias("_n"), some.alias("_some"), F.col(value).alias("_sum"))
+    left = timed.select(*keys, (F.col("_stretch") + 1).alias("_stretch"), (F.col(at) + back_ms + 1).alias("_at"), F.lit(-1).alias("_n"), (-some).alias("_some"), (-F.col(value)).alias("_sum"))
+    left = left.where(F.col("_at") < (F.col("_stretch") + 1) * back_ms)
+    sums = [F.sum(c).alias(c) for c in ("_n", "_some", "_sum")]
+    before = timed.select(*keys, "_stretch", F.lit(1).alias("_n"), some.alias("_some"), F.col(value).alias("_sum")).groupBy(*keys, "_stretch").agg(*sums)
+    before = before.select(*keys, (F.col("_stretch") + 1).alias("_stretch"), ((F.col("_stretch") + 1) * back_ms).alias("_at"), "_n", "_some", "_sum")
+    steps = own.withColumn("_row", F.lit(True)).unionByName(left.unionByName(before), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_stretch").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = steps.withColumns({"window_count": F.sum("_n").over(w), "window_sum": F.when(F.sum("_some").over(w) > 0, F.sum("_sum").over(w))})
+    return counted.where("_row").select(*df.columns, "window_count", "window_sum")
 
 
 def isolated(df: DataFrame, keys: Sequence[str], order: Sequence[str], away_ms: int, most_ms: int, start: str = "start_ms", end: str = "end_ms") -> DataFrame:

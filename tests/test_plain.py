@@ -185,6 +185,20 @@ def test_hot_keys_give_the_same(spark):
     assert placed == {i: (hot[i + 1][2] - hot[i][3] if i + 1 < len(hot) else None) for i in range(len(hot))}
 
 
+def test_rolling_counts_are_one_running_sum(spark):
+    rng = np.random.default_rng(5)
+    times = [0, 0, 700, 701, 1399, 1400, 1401, 2100, 2101, -1, -700, -701, *map(int, rng.integers(-3000, 3000, 300))]
+    rows = [(None if i % 7 == 0 else "ab"[i % 2], i, t, None if i % 3 == 0 else int(rng.integers(-9, 9))) for i, t in enumerate(times)]
+    found = rn.rolling(spark.createDataFrame(rows, "key string, id long, at long, v long"), ["key"], "at", "v", 700)
+    got = {r.id: (r.window_count, r.window_sum) for r in found.collect()}
+    for key, i, t, _ in rows:
+        near = [r[3] for r in rows if r[0] == key and t - 700 <= r[2] <= t]
+        known = [v for v in near if v is not None]
+        assert got[i] == (len(near), sum(known) if known else None)
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]*),", found._jdf.queryExecution().executedPlan().toString())
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+
+
 def test_centroids_in_blocks_are_the_same(spark):
     rng = np.random.default_rng(4)
     rows = [(i, i % 7, rng.normal(size=4).tolist()) for i in range(120)]
