@@ -1,11 +1,13 @@
 """Misheard names against all pairs of each conversation, one segment after the other."""
 
 import difflib
+import random
 import re
 from collections import defaultdict
 
 from cuelattice.operators import names as nm
 from cuelattice.queries import name_queries as nq
+from tests.moved import exchanges
 
 SF = "/root/testdata/sf0.001"
 OPENERS = "actually as although because however maybe okay otherwise really today".split()
@@ -60,3 +62,15 @@ def test_cases(spark):
     assert got == want and ("a", 1, "Natto", "NATO", 2) in got and (None, 1, "Unesko", "UNESCO", 2) in got
     assert not [g for g in got if g[0] == "c"]
     assert nm.misheard_names(df.limit(0), ["k"], "i", "t").count() == 0
+
+
+def test_only_words_and_alike_pairs_move(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnoprstu", k=7)) for _ in range(60)]
+    rows = [("d", i, " ".join(w.upper() + " " + w.upper() + " " + w[:1].upper() + w[2:] for w in words[i::6]) + " filling" * 500) for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, i long, t string")
+    found = nm.misheard_names(df, ["k"], "i", "t").select("at", "heard", "canonical", "canonical_count", "similarity")
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(plain([(i, t) for _, i, t in rows])) and len(got) > 30
+    moved = exchanges(found)
+    assert sum("_t#" in columns for _, columns in moved) <= 1 and 0 < sum(n for n, _ in moved) < 1200
