@@ -87,11 +87,14 @@ def spoken_words(cues: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     return cues.groupBy(*keys, F.coalesce(F.col(label), F.lit("unassigned")).alias(label)).agg(F.sum(words).alias("words"))
 
 
-def simultaneous(words: DataFrame, turns: DataFrame, keys: Sequence[str], row: str, label: str) -> DataFrame:
-    """Rows whose middle falls into turns of several labels, with their number."""
+def simultaneous(words: DataFrame, turns: DataFrame, keys: Sequence[str], row: str, label: str, width_ms: int = 60_000) -> DataFrame:
+    """Rows whose middle falls into turns of several labels, with their number.
+
+    A turn is dealt out to each stretch of ``width_ms`` that it reaches, so that should be about as long as turns are.
+    """
     middle = words.withColumn("mid", F.floor((F.col("start_ms") + F.col("end_ms")) / 2).cast("long"))
     at = middle.withColumns({"start_ms": F.col("mid"), "end_ms": F.col("mid") + 1})
-    met = iv.overlap_pairs(at, turns, keys)
+    met = iv.overlap_pairs(at.select(*keys, row, "start_ms", "end_ms"), turns.select(*keys, label, "start_ms", "end_ms"), keys, width_ms)
     return met.groupBy(*keys, row).agg(F.count_distinct(label).alias("speakers")).where("speakers > 1")
 
 

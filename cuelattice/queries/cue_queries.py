@@ -89,7 +89,7 @@ def spoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simultaneous_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, spoken = sides(spark, sf_dir)
     longer = spoken.withColumn("end_ms", F.col("end_ms") + 3_600_000)
-    return cu.simultaneous(words, longer, ["user_id"], "event_id", "speaker")
+    return cu.simultaneous(words, longer, ["user_id"], "event_id", "speaker", 3_600_000)
 
 
 def resegmented(spark: SparkSession, sf_dir: str) -> DataFrame:
