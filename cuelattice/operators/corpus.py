@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,30 +74,40 @@ def weighted_and_macro(df: DataFrame, keys: Sequence[str], errors: str, total: s
     )
 
 
-def runs_of(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens, joined."""
-    at = F.sequence(F.lit(0), F.size(tokens) - n)
-    return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+def longest_claim(edited: list[str], other: list[str], own: list[str], least: int, most: int) -> int:
+    """Length, of ``least`` to ``most``, of the longest run of ``edited`` tokens that ``other`` has and ``own`` lacks; 0 for none.
 
-
-def claimed(edited: Column, other: Column, own: Column, n: int) -> Column:
-    """Whether a run of ``n`` edited tokens is another's and not one's own."""
-    return F.size(F.array_except(F.array_intersect(runs_of(edited, n), runs_of(other, n)), runs_of(own, n))) > 0
+    A run that goes on is only looked for where its beginning was found, and each length goes through the tokens once.
+    """
+    runs = lambda tokens, starts, n: {tuple(tokens[i : i + n]) for i in starts if i + n <= len(tokens)}
+    mine, theirs, found = range(len(edited)), range(len(other)), 0
+    for n in range(least, most + 1):
+        shared = runs(edited, mine, n) & runs(other, theirs, n)
+        if not shared:
+            break
+        mine, theirs = ([i for i in at if tuple(tokens[i : i + n]) in shared] for tokens, at in ((edited, mine), (other, theirs)))
+        if shared - runs(own, range(len(own)), n):
+            found = n
+    return found
 
 
 def neighbour_claims(df: DataFrame, keys: Sequence[str], order: str, before: str, after: str, least: int = 4, most: int = 12) -> DataFrame:
     """Rows whose edited tokens hold a run of a neighbour's original tokens that their own original lacks.
 
-    ``before`` and ``after`` are token arrays; the longest such run has ``least`` to ``most`` tokens.
+    ``before`` and ``after`` are token arrays; the longest such run has ``least`` to ``most`` tokens. Rows that weren't edited
+    claim nothing and aren't searched.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     sides = df.withColumns({"_prev": F.lag(before).over(w), "_next": F.lead(before).over(w)})
 
-    def longest(other: str) -> Column:
-        hits = [F.when(claimed(F.col(after), F.col(other), F.col(before), n), n) for n in range(most, least - 1, -1)]
-        return F.coalesce(*hits, F.lit(0))
+    @F.arrow_udf("struct<from_previous:int,from_next:int>")
+    def claims(edited: pa.Array, own: pa.Array, previous: pa.Array, following: pa.Array) -> pa.Array:
+        e, o, p, f = (c.to_pylist() for c in (edited, own, previous, following))
+        longest = lambda other: pa.array([longest_claim(a or [], x or [], b or [], least, most) for a, b, x in zip(e, o, other, strict=True)], pa.int32())
+        return pa.StructArray.from_arrays([longest(p), longest(f)], ["from_previous", "from_next"])
 
-    return sides.withColumns({"from_previous": longest("_prev"), "from_next": longest("_next")}).drop("_prev", "_next").where("from_previous > 0 OR from_next > 0")
+    found = sides.where(~F.col(after).eqNullSafe(F.col(before))).withColumn("_claims", claims(after, before, "_prev", "_next"))
+    return found.where("_claims.from_previous > 0 OR _claims.from_next > 0").select(*df.columns, "_claims.*")
 
 
 def best_diagonal(left: DataFrame, right: DataFrame, keys: Sequence[str], token: str, position: str, least: int = 2) -> DataFrame:
