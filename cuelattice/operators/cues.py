@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,26 +101,41 @@ def simultaneous(words: DataFrame, turns: DataFrame, keys: Sequence[str], row: s
     return met.groupBy(*keys, row).agg(F.count_distinct(label).alias("speakers")).where("speakers > 1")
 
 
+def part_of_words(lengths: Column, parts: Column, length: Column) -> Column:
+    """The part, of ``parts`` even ones of a text of ``length``, in which the middle of each word lies; words are one character apart."""
+    @F.arrow_udf("array<long>")
+    def part(n: pa.Array, parts: pa.Array, length: pa.Array) -> pa.Array:
+        sizes, offsets = n.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(n), 0).to_numpy(zero_copy_only=False))]
+        ends = np.r_[0, np.cumsum(sizes + 1)]
+        row = np.repeat(np.arange(len(n)), np.diff(offsets))
+        middles = ends[:-1] - ends[offsets[:-1]][row] + sizes / 2
+        known = lambda c: pc.fill_null(c, 1).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+        at = np.floor(middles * known(parts) / known(length)).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at))
+
+    return part(lengths, parts, length)
+
+
 def split_evenly(cues: DataFrame, keys: Sequence[str], most_latin: int = 70, most_unspaced: int = 25) -> DataFrame:
     """Cues with a text in one language only and over its limit of characters, as even parts at word borders.
 
     A text needs as many parts as limits fit into it. A word goes to the part in which its middle lies, parts
-    share the cue's time alike, and parts without a word are left out. Other cues stay.
+    share the cue's time alike, and parts without a word are left out. Other cues stay. Words of a cue are gone
+    through once, and a cue's parts are made with their own words only.
     """
     text = F.trim("text")
     alone = F.trim(F.coalesce("translated", F.lit(""))) == ""
     most = F.when(tx.mainly_unspaced(text), most_unspaced).otherwise(most_latin)
-    parts = F.when(alone, F.greatest(F.lit(1), F.ceil(F.length(text) / most))).otherwise(1).cast("long")
-    words = tx.pieces(text)
-    sized = cues.withColumns({"_parts": parts, "_words": F.transform(words, lambda w: F.struct(w.alias("w"), F.length(w).alias("n")))})
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<w:string,mid:double>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["n"] + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(x["w"].alias("w"), (acc["at"] + x["n"] / 2).alias("mid")))).alias("out"))
-    placed = sized.withColumn("_placed", F.aggregate("_words", start, step, lambda acc: acc["out"]))
-    each = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    mine = F.filter("_placed", lambda x: F.floor(x["mid"] * F.col("_parts") / F.greatest(F.lit(1), F.length(text))) == F.col("part"))
-    span = (F.col("end_ms") - F.col("start_ms")) / F.col("_parts")
-    cut = each.withColumn("_text", F.when(F.col("_parts") == 1, F.col("text")).otherwise(F.array_join(F.transform(mine, lambda x: x["w"]), " "))).where(F.col("_text") != "")
-    return cut.select(*keys, "part", F.floor(F.col("start_ms") + F.col("part") * span).cast("long").alias("start_ms"), F.floor(F.col("start_ms") + (F.col("part") + 1) * span).cast("long").alias("end_ms"), F.col("_text").alias("text"))
+    needed = F.when(alone, F.greatest(F.lit(1), F.ceil(F.length(text) / most))).otherwise(1).cast("long")
+    sized = cues.where(F.col("text") != "").withColumns({"_parts": needed, "_words": tx.pieces(text), "_length": F.greatest(F.lit(1), F.length(text))})
+    placed = sized.withColumn("_in", F.when(F.col("_parts") > 1, part_of_words(F.transform("_words", F.length), F.col("_parts"), F.col("_length"))))
+    # Parts don't decrease from word to word, and words hold no line feed: it stands before the first word of each part.
+    begun = F.transform("_words", lambda w, i: F.concat(F.when(i == 0, "").when(F.get("_in", i) == F.get("_in", i - 1), " ").otherwise("\n"), w))
+    cut = F.arrays_zip(F.array_distinct("_in").alias("part"), F.split(F.array_join(begun, ""), "\n").alias("text"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("part"), F.col("text")))
+    each = placed.withColumn("_each", F.explode(F.when(F.col("_parts") == 1, whole).otherwise(cut))).where(F.col("_each.part") < F.col("_parts"))
+    span, part = (F.col("end_ms") - F.col("start_ms")) / F.col("_parts"), F.col("_each.part")
+    return each.select(*keys, part.alias("part"), F.floor(F.col("start_ms") + part * span).cast("long").alias("start_ms"), F.floor(F.col("start_ms") + (part + 1) * span).cast("long").alias("end_ms"), F.col("_each.text").alias("text"))
 
 
 def sweep(frames: DataFrame, keys: Sequence[str], grid: Sequence[tuple[int, int, int]]) -> DataFrame:
