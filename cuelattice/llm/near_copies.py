@@ -111,26 +111,32 @@ def similarities(left: pa.Array, right: pa.Array) -> pa.Array:
 
 
 def met(batches: Iterator[pa.RecordBatch], radius: int, flipped: int, similar: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that estimates can't rule out, within each group of rows in order of (key, low, high)."""
+    """Pairs of different components that estimates can't rule out, within each group of rows in order of (key, low, high).
+
+    A pair that shares several keys is made in the least of them only: sets of different components leave every key that
+    they share open, so each pair meets there.
+    """
     key, held = None, []
 
     def pairs() -> pa.RecordBatch:
-        side, digest, label, n, fp, bits = (np.array(c) for c in zip(*held, strict=True))
+        side, digest, label, n, fp, bits, bands = (np.array(c) for c in zip(*held, strict=True))
         bits, fp = bits.astype(np.int64).view(np.uint64), fp.astype(np.int64).view(np.uint64)
         across = np.unpackbits(simhash.within(fp, fp, radius).view(np.uint8), axis=1, bitorder="little")[:, : len(fp)].astype(bool)
         across &= (label[:, None] != label) & ((side[:, None] != side) | (side == 0)) & (digest[:, None] < digest)
         i, j = np.nonzero(across)
         differ = np.bitwise_or.reduce((bits[i] ^ bits[j]).reshape(-1, PLANES, WORDS), axis=1)
         fit = (np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= flipped) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]))
+        i, j = i[fit], j[fit]
+        fit = ~((bands[i] == bands[j]) & (bands[i] < key[0])).any(axis=1)
         return pa.RecordBatch.from_arrays([pa.array(digest[i[fit]]), pa.array(digest[j[fit]])], ["a", "b"])
 
     for batch in batches:
-        for *at, side, digest, label, n, fp, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for *at, side, digest, label, n, fp, bits, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if at != key:
                 if len(held) > 1:
                     yield pairs()
                 key, held = at, []
-            held.append((side, digest, label, n, fp, bits))
+            held.append((side, digest, label, n, fp, bits, bands))
     if len(held) > 1:
         yield pairs()
 
@@ -173,9 +179,9 @@ def links(distinct: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     keys = distinct.where(F.col("digest") != EMPTY).select("digest", F.explode(F.array_distinct("bands")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("in_key")).where("in_key > 1")
     shared = staged(keys.join(shared, "key"), "shared-keys")
-    rows = distinct.join(shared.select("digest").distinct(), "digest").select("digest", "row", "bits")
-    made = texts.join(rows, "row").select("digest", "bits", F.arrow_udf(members_of, MEMBER)("text").alias("made"))
-    members = staged(made.select("digest", "bits", "made.n", "made.fp", "made.shingles"), "members")
+    rows = distinct.join(shared.select("digest").distinct(), "digest").select("digest", "row", "bits", "bands")
+    made = texts.join(rows, "row").select("digest", "bits", "bands", F.arrow_udf(members_of, MEMBER)("text").alias("made"))
+    members = staged(made.select("digest", "bits", "bands", "made.n", "made.fp", "made.shingles"), "members")
 
     leaders = shared.where("digest <> least").groupBy("digest").agg(F.collect_set("least").alias("of"))
     mixed = F.array_sort(F.transform("of", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("a"))))
@@ -190,11 +196,11 @@ def links(distinct: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
         named = shared.join(labels, "digest", "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
         several = named.groupBy("key").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label"), F.count(F.lit(1)).alias("in_key")).where("low_label <> high_label")
         mine, n_slices = dealt("in_key", "digest")
-        open_rows = named.join(several, "key").withColumns({"mine": mine, "n_slices": n_slices}).join(members.select("digest", "n", "fp", "bits"), "digest")
+        open_rows = named.join(several, "key").withColumns({"mine": mine, "n_slices": n_slices}).join(members.select("digest", "n", "fp", "bits", "bands"), "digest")
         each = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)))
         side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
         order = ["key", "low", "high"]
-        rows = each.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), side.alias("side"), "digest", "label", "n", "fp", "bits")
+        rows = each.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), side.alias("side"), "digest", "label", "n", "fp", "bits", "bands")
         sorted_rows = rows.repartition(parts, *order).sortWithinPartitions(*order)
         across = sorted_rows.mapInArrow(lambda it, most=most: met(it, RADIUS, most, similar), "a long, b long").distinct()
         found.append(staged(verified(staged(across, "open-pairs"), members, similar), "open-links"))

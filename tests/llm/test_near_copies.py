@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate stage against brute force over five-word shingles."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import docs, odd_docs
 
@@ -140,3 +141,13 @@ def test_a_large_group_makes_few_comparisons(spark):
     finally:
         near_copies.verified = made
     assert sum(pairs) < 2 * len(texts)
+
+
+def test_a_pair_of_several_keys_is_made_once():
+    """Rows 1 and 2 share keys 3, 5 and 9, rows 1 and 4 only 9, in slices of their own."""
+    bands = {1: [3, 5, 9], 2: [3, 5, 9], 4: [7, 8, 9]}
+    bits = [0] * (near_copies.PLANES * near_copies.WORDS)
+    row = lambda key, digest: {"key": key, "low": 0, "high": 0, "side": 0, "digest": digest, "label": digest, "n": 10, "fp": 0, "bits": bits, "bands": bands[digest]}
+    batch = pa.RecordBatch.from_pylist([row(3, 1), row(3, 2), row(5, 1), row(5, 2), row(9, 1), row(9, 2), row(9, 4)])
+    made = [tuple(r.values()) for b in near_copies.met(iter([batch]), near_copies.RADIUS, near_copies.FLIPPED, 0.8) for r in b.to_pylist()]
+    assert sorted(made) == [(1, 2), (1, 4), (2, 4)]
