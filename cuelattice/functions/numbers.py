@@ -42,12 +42,20 @@ def named(names: tuple[str, ...], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), at.cast("int") + 1)
 
 
-def below_thousand(n: Column) -> Column:
+def hundreds(n: int) -> str:
     """Words of a number from 0 to 999; none for 0."""
     rest = n % 100
-    tens = F.concat_ws(" ", named(TENS, F.floor(rest / 10)), F.when(rest % 10 > 0, named(SMALL, rest % 10)))
-    words = F.when(rest >= 20, tens).when(rest > 0, named(SMALL, rest))
-    return F.concat_ws(" ", F.when(n >= 100, F.concat(named(SMALL, F.floor(n / 100)), F.lit(" hundred"))), words)
+    tens = [TENS[rest // 10], *SMALL[rest % 10 : rest % 10 + 1] * (rest % 10 > 0)] if rest >= 20 else [SMALL[rest]] * (rest > 0)
+    return " ".join([f"{SMALL[n // 100]} hundred"] * (n >= 100) + tens)
+
+
+#: The words of 0 to 999, so that a group of three digits is looked up and not put together for each row.
+BELOW_THOUSAND = tuple(map(hundreds, range(1000)))
+
+
+def below_thousand(n: Column) -> Column:
+    """Words of a number from 0 to 999; none for 0."""
+    return F.element_at(F.split(F.lit("|".join(BELOW_THOUSAND)), r"\|"), n.cast("int") + 1)
 
 
 def spelled(digits: Column) -> Column:
@@ -77,9 +85,13 @@ def number_words(value: Column, years: bool = True) -> Column:
         parts = F.when(hundred, F.array(first)).when(thousand, F.array(second)).when(year, F.array(first, second)).otherwise(F.array(whole))
         words = F.array_join(F.transform(parts, spelled), " ", "\0")
         digit_words = F.array_join(F.transform(F.filter(F.split(fraction, ""), lambda d: d != ""), lambda d: named(SMALL, d)), " ")
-        told = F.when(hundred, F.concat(words, F.lit(" hundred"))).when(thousand, F.concat(F.lit("two thousand "), words))
-        told = told.when(fraction != "", F.concat(words, F.lit(" point "), digit_words)).otherwise(words)
-        return F.when(compact.rlike(rf"^{NUMBER}$") & ~words.contains("\0"), told)
+
+        def told(words: Column) -> Column:
+            whole_or_year = F.when(hundred, F.concat(words, F.lit(" hundred"))).when(thousand, F.concat(F.lit("two thousand "), words))
+            said = whole_or_year.when(fraction != "", F.concat(words, F.lit(" point "), digit_words)).otherwise(words)
+            return F.when(~words.contains("\0"), said)
+
+        return F.transform(F.array(F.when(compact.rlike(rf"^{NUMBER}$"), words)), told)[0]  # bound once: a lambda's expressions are evaluated wherever they are named
 
     return F.transform(F.array(F.replace(value, F.lit(","), F.lit(""))), read)[0]
 

@@ -71,6 +71,12 @@ def test_changed_numbers_where_a_price_is_the_year(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and (3, "1996", 0, 1) in want and len(want) == 6
 
 
+def test_words_of_a_group_are_looked_up(spark):
+    assert nb.BELOW_THOUSAND[0] == "" and nb.BELOW_THOUSAND[100] == "one hundred" and nb.BELOW_THOUSAND[919] == "nine hundred nineteen" and nb.BELOW_THOUSAND[42] == "forty two"
+    got = spark.range(1000).select(nb.below_thousand(F.col("id")).alias("w")).collect()
+    assert tuple(r.w for r in got) == nb.BELOW_THOUSAND
+
+
 def test_lost_numbers(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = set()
