@@ -50,6 +50,7 @@ MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) +
 WORDS = BANDS * ROWS // 64
 SKETCH = "struct<digest:long,bands:array<long>,bits:array<long>>"
 SKETCH_TYPE = pa.struct([("digest", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+IN_GROUP = "key long, low int, high int, side int, digest long, label long"
 MEMBER = "struct<n:long,fp:long,shingles:binary>"
 MEMBER_TYPE = pa.struct([("n", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary())])
 
@@ -100,14 +101,37 @@ def members_of(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array([s.tobytes() for s in sets], pa.binary())], fields=list(MEMBER_TYPE))
 
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of hashes that aren't empty."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return shared / (len(a) + len(b) - shared)
+
+
 def similarities(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Jaccard similarity of each two sets of hashes, as the bytes of sorted arrays that aren't empty."""
-    out = []
-    for a, b in zip(left, right, strict=True):
-        a, b = sorted((np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b)), key=len)
-        shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-        out.append(shared / (len(a) + len(b) - shared))
-    return pa.array(out, pa.float64())
+    """Similarity of each two sets of hashes, as the bytes of sorted arrays."""
+    sets = ((np.frombuffer(x.as_buffer(), np.uint64) for x in pair) for pair in zip(left, right, strict=True))
+    return pa.array([similarity(*pair) for pair in sets], pa.float64())
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each group of two rows and more, of rows in order of (key, low, high), the first three columns."""
+    key, held = None, []
+    for batch in batches:
+        at = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]], axis=1)
+        starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist()] if len(at) else []
+        for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+            if at[a].tolist() != key:
+                yield from joined(held)
+                key, held = at[a].tolist(), []
+            held.append(batch.slice(a, b - a))
+    yield from joined(held)
+
+
+def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of one group as one batch, if they have two rows."""
+    if sum(p.num_rows for p in parts) > 1:
+        yield pa.concat_batches(parts)
 
 
 def met(batches: Iterator[pa.RecordBatch], radius: int, flipped: int, similar: float) -> Iterator[pa.RecordBatch]:
@@ -116,11 +140,10 @@ def met(batches: Iterator[pa.RecordBatch], radius: int, flipped: int, similar: f
     A pair that shares several keys is made in the least of them only: sets of different components leave every key that
     they share open, so each pair meets there.
     """
-    key, held = None, []
-
-    def pairs() -> pa.RecordBatch:
-        side, digest, label, n, fp, bits, bands = (np.array(c) for c in zip(*held, strict=True))
-        bits, fp = bits.astype(np.int64).view(np.uint64), fp.astype(np.int64).view(np.uint64)
+    for group in groups(batches):
+        key, *_, side, digest, label, n, fp = (c.to_numpy(zero_copy_only=False) for c in group.columns[:8])
+        bits, bands = (np.array(c.to_pylist(), np.int64) for c in group.columns[8:10])
+        bits, fp = bits.view(np.uint64), fp.astype(np.int64).view(np.uint64)
         across = np.unpackbits(simhash.within(fp, fp, radius).view(np.uint8), axis=1, bitorder="little")[:, : len(fp)].astype(bool)
         across &= (label[:, None] != label) & ((side[:, None] != side) | (side == 0)) & (digest[:, None] < digest)
         i, j = np.nonzero(across)
@@ -128,17 +151,39 @@ def met(batches: Iterator[pa.RecordBatch], radius: int, flipped: int, similar: f
         fit = (np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= flipped) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]))
         i, j = i[fit], j[fit]
         fit = ~((bands[i] == bands[j]) & (bands[i] < key[0])).any(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(digest[i[fit]]), pa.array(digest[j[fit]])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(digest[i[fit]]), pa.array(digest[j[fit]])], ["a", "b"])
 
-    for batch in batches:
-        for *at, side, digest, label, n, fp, bits, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if at != key:
-                if len(held) > 1:
-                    yield pairs()
-                key, held = at, []
-            held.append((side, digest, label, n, fp, bits, bands))
-    if len(held) > 1:
-        yield pairs()
+
+def involved(batches: Iterator[pa.RecordBatch], radius: int, flipped: int, similar: float) -> Iterator[pa.RecordBatch]:
+    """The rows (key, low, high, side, digest, label) of each group that are in one of its pairs."""
+    for group in groups(batches):
+        for pairs in met(iter([group]), radius, flipped, similar):
+            both = np.union1d(*(c.to_numpy(zero_copy_only=False) for c in pairs.columns))
+            yield group.select([0, 1, 2, 3, 4, 5]).filter(pa.array(np.isin(group.column(4).to_numpy(zero_copy_only=False), both)))
+
+
+def linked(batches: Iterator[pa.RecordBatch], radius: int, flipped: int, similar: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join what the similar pairs of each group join: fewer than it has rows, whose last column is the shingles.
+
+    A pair is compared if no link before it joins its sets.
+    """
+    for group in groups(batches):
+        digest, shingles_of = group.column(4).to_numpy(zero_copy_only=False), group.column(group.num_columns - 1)
+        sets = {d: np.frombuffer(x.as_buffer(), np.uint64) for d, x in zip(digest.tolist(), shingles_of, strict=True)}
+        label = dict(zip(digest.tolist(), group.column(5).to_pylist(), strict=True))
+        of: dict[int, list[int]] = {}
+        for d, x in label.items():
+            of.setdefault(x, []).append(d)
+        found = []
+        for pairs in met(iter([group]), radius, flipped, similar):
+            for a, b in zip(*(c.to_pylist() for c in pairs.columns), strict=True):
+                if label[a] != label[b] and similarity(sets[a], sets[b]) >= similar:
+                    found.append((a, b))
+                    less, more = sorted((label[a], label[b]), key=lambda x: len(of[x]))
+                    for d in of[less]:
+                        label[d] = more
+                    of[more] += of.pop(less)
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def dealt(count: str, by: str) -> list[Column]:
@@ -147,6 +192,12 @@ def dealt(count: str, by: str) -> list[Column]:
     return [F.pmod(F.xxhash64(by), parts).cast("int"), parts]
 
 
+def by_group(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` in order of (key, low, high), each group in one partition."""
+    group = ["key", "low", "high"]
+    return rows.repartition(parts, *group).sortWithinPartitions(*group)
+
+
 def plausible(pairs: DataFrame, members: DataFrame, similar: float) -> DataFrame:
     """Those of ``pairs`` (a, b) that estimates and sizes allow."""
     slim = members.select("digest", "n", "fp", "bits")
@@ -199,11 +250,11 @@ def links(distinct: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
         open_rows = named.join(several, "key").withColumns({"mine": mine, "n_slices": n_slices}).join(members.select("digest", "n", "fp", "bits", "bands"), "digest")
         each = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)))
         side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-        order = ["key", "low", "high"]
         rows = each.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), side.alias("side"), "digest", "label", "n", "fp", "bits", "bands")
-        sorted_rows = rows.repartition(parts, *order).sortWithinPartitions(*order)
-        across = sorted_rows.mapInArrow(lambda it, most=most: met(it, RADIUS, most, similar), "a long, b long").distinct()
-        found.append(staged(verified(staged(across, "open-pairs"), members, similar), "open-links"))
+        paired = staged(by_group(rows, parts).mapInArrow(lambda it, most=most: involved(it, RADIUS, most, similar), IN_GROUP), "open-sets")
+        whole = by_group(paired.join(members, "digest").select(*paired.columns, "n", "fp", "bits", "bands", "shingles"), parts)
+        joining = staged(whole.mapInArrow(lambda it, most=most: linked(it, RADIUS, most, similar), "a long, b long").distinct(), "open-pairs")
+        found.append(staged(verified(joining, members, similar), "open-links"))
     return union_all(found)
 
 

@@ -151,3 +151,26 @@ def test_a_pair_of_several_keys_is_made_once():
     batch = pa.RecordBatch.from_pylist([row(3, 1), row(3, 2), row(5, 1), row(5, 2), row(9, 1), row(9, 2), row(9, 4)])
     made = [tuple(r.values()) for b in near_copies.met(iter([batch]), near_copies.RADIUS, near_copies.FLIPPED, 0.8) for r in b.to_pylist()]
     assert sorted(made) == [(1, 2), (1, 4), (2, 4)]
+
+
+def test_a_key_of_sets_that_are_nearly_links_makes_no_row_for_a_pair():
+    """60 sets at 0.75 to each other and 30 at 0.9, which estimates can't tell apart: sets and joining links leave their key, not pairs."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    common, closer = fresh(120), fresh(18)
+    sets = [np.sort(np.concatenate([common, fresh(20)])) for _ in range(60)] + [np.sort(np.concatenate([common, closer, fresh(7)])) for _ in range(30)]
+    rows = [
+        {"key": 7, "low": 0, "high": 0, "side": 0, "digest": d, "label": d, "n": len(x), "fp": 0, "bits": [0] * (near_copies.PLANES * near_copies.WORDS), "bands": [7], "shingles": x.tobytes()}
+        for d, x in enumerate(sets)
+    ]
+    whole = pa.RecordBatch.from_pylist(rows)
+    limits = (near_copies.RADIUS, near_copies.FLIPPED, 0.8)
+    batches = [whole.slice(0, 25), whole.slice(25)]
+    assert sum(b.num_rows for b in near_copies.met(iter(batches), *limits)) > 3000
+    kept = [r["digest"] for b in near_copies.involved(iter(batches), *limits) for r in b.to_pylist()]
+    assert kept == list(range(90))
+    found = [tuple(r.values()) for b in near_copies.linked(iter(batches), *limits) for r in b.to_pylist()]
+    reached = {60}
+    for _ in found:
+        reached |= {x for pair in found if reached & set(pair) for x in pair}
+    assert len(found) == 29 and reached == set(range(60, 90))
