@@ -1,4 +1,4 @@
-"""A training corpus from raw documents: five stages, each written before the next one reads it.
+"""A training corpus from raw documents: five stages, each written before the next one reads it, the last in its buckets.
 
 Toxic documents go, then those whose language cannot be told, then near-duplicates but one of each group, then
 those that hold a benchmark item; what is left is packed into sequences. All stages but the last return the
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cuelattice.llm import decontamination, language, near_copies, packing, toxicity
-from cuelattice.llm.common import staged, table
+from cuelattice.llm.common import fresh_path, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.digest_columns(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.digest_columns(packing.bucketed(packed, fresh_path(spark, "pipeline-packed")))
 
 
 STAGES = [

@@ -10,12 +10,15 @@ sets are compared exactly, their SimHash fingerprints may differ in ``RADIUS`` b
 average, deviation 2.9), and ``PLANES`` bits of each of their BANDS * ROWS least hashes in ``FLIPPED`` hashes at most (56 on
 average, deviation 6.8, so that two of 100,000 pairs are lost; at 0.7 84, at 0.65 98, deviation 8.2). The bits are kept as planes.
 
-Each key has its least set for a leader. Every set is compared with one of its leaders, those without a link with two
+SimHash goes first, by the operator of ``simhash``: fingerprints of all sets meet in blocks, those within ``NEAR`` bits
+are linked by bit planes, and each component of fingerprints is a key. Pairs at 0.8 are mostly farther apart than any
+choice of blocks can tell, and they are found by their MinHash keys. Each key has its least set for a leader. Every set is compared with one of its leaders, SimHash's first, those without a link with two
 others, then four, and so on until they have no more; links make components. Then keys that still have sets of
 several components are compared whole, fingerprints as bit planes, likely pairs first, and only pairs of different components are
-compared exactly. So a group of n alike costs a few n exact comparisons, and texts that merely share a template cost
-those of their pairs that estimates can't tell from links. Keys with many sets are dealt out as pairs of slices, and sets that
-many others are compared with are dealt out too.
+compared exactly, within the task that found them: the sets of such pairs are sent to their key, and only links
+that join components leave it. So a group of n alike costs a few n exact comparisons, and texts that merely share a template cost
+those of their pairs that estimates can't tell from links, though never a row for each. Keys with many sets are dealt out as
+pairs of slices, and sets that many others are compared with are dealt out too.
 
 Words are those of ``simhash``; a text of fewer words than a shingle is one shingle, and null texts and texts
 without a word are the empty set. Very long texts are read whole. Of the rows with the least id, the one read first
@@ -40,6 +43,8 @@ from cuelattice.llm.decontamination import shingle_hashes, word_hash
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS, RADIUS, PLANES, FLIPPED = 40, 8, 28, 3, 84
+#: Differing bits within which SimHash looks for leaders, and the blocks of its keys.
+NEAR, BLOCKS = 3, 5
 #: Sets that differ in as few of these hashes are compared first, so that fewer of the rest are of different components.
 LIKELY = 60
 #: Sets of a key that are compared at once; larger keys are dealt out as pairs of slices.
@@ -48,11 +53,11 @@ _RNG = np.random.default_rng(20)
 FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WORDS = BANDS * ROWS // 64
-SKETCH = "struct<digest:long,bands:array<long>,bits:array<long>>"
-SKETCH_TYPE = pa.struct([("digest", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+SKETCH = "struct<digest:long,fp:long,bands:array<long>,bits:array<long>>"
+SKETCH_TYPE = pa.struct([("digest", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 IN_GROUP = "key long, low int, high int, side int, digest long, label long"
-MEMBER = "struct<n:long,fp:long,shingles:binary>"
-MEMBER_TYPE = pa.struct([("n", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary())])
+MEMBER = "struct<n:long,shingles:binary>"
+MEMBER_TYPE = pa.struct([("n", pa.int64()), ("shingles", pa.binary())])
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -89,16 +94,16 @@ def lists(rows: list[np.ndarray], width: int) -> pa.Array:
 
 
 def sketches(texts: pa.Array) -> pa.Array:
-    made = [sketch(shingles(t)) for t in text_bytes(texts)]
-    digests = np.array([m[0] for m in made], np.uint64).view(np.int64)
-    return pa.StructArray.from_arrays([pa.array(digests), lists([m[1] for m in made], BANDS), lists([m[2] for m in made], PLANES * WORDS)], fields=list(SKETCH_TYPE))
+    sets = [shingles(t) for t in text_bytes(texts)]
+    made = [sketch(x) for x in sets]
+    digests, fps = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([m[0] for m in made], [simhash.fingerprint(x) for x in sets]))
+    return pa.StructArray.from_arrays([digests, fps, lists([m[1] for m in made], BANDS), lists([m[2] for m in made], PLANES * WORDS)], fields=list(SKETCH_TYPE))
 
 
 def members_of(texts: pa.Array) -> pa.Array:
-    """Size, fingerprint and shingles of each text."""
+    """Size and shingles of each text."""
     sets = [shingles(t) for t in text_bytes(texts)]
-    fps = np.array([simhash.fingerprint(s) for s in sets], np.uint64).view(np.int64)
-    return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array([s.tobytes() for s in sets], pa.binary())], fields=list(MEMBER_TYPE))
+    return pa.StructArray.from_arrays([pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], fields=list(MEMBER_TYPE))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -221,22 +226,32 @@ def verified(pairs: DataFrame, members: DataFrame, similar: float) -> DataFrame:
     return both.where(F.arrow_udf(similarities, "double")("left", "right") >= similar).select("a", "b")
 
 
+def simhash_keys(distinct: DataFrame) -> DataFrame:
+    """(digest, key, least, in_key): the sets of each component that SimHash's links make, under a key of its own."""
+    prints = staged(distinct.groupBy("fp").agg(F.min("digest").alias("least")), "distinct-fingerprints")
+    named = staged(distinct.select("digest", "fp").join(simhash.fingerprint_components(prints, NEAR, BLOCKS).select("fp", "component_id"), "fp"), "simhash-components")
+    sizes = named.groupBy("component_id").agg(F.count(F.lit(1)).alias("in_key")).where("in_key > 1")
+    return named.join(sizes, "component_id").select("digest", F.xxhash64("component_id").alias("key"), F.col("component_id").alias("least"), "in_key")
+
+
 def links(distinct: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Edges (a, b) between digests of ``distinct`` (digest, row, bands, bits) that join what links join; ``texts``: row, text.
+    """Edges (a, b) between digests of ``distinct`` (digest, row, fp, bands, bits) that join what links join; ``texts``: row, text.
 
-    Shingles are made only of texts that share a key with another; the empty set links to nothing.
+    Shingles are made only of texts that share a key or SimHash's component with another; the empty set links to nothing.
     """
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = distinct.where(F.col("digest") != EMPTY).select("digest", F.explode(F.array_distinct("bands")).alias("key"))
+    distinct = distinct.where(F.col("digest") != EMPTY)
+    keys = distinct.select("digest", F.explode(F.array_distinct("bands")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("in_key")).where("in_key > 1")
-    shared = staged(keys.join(shared, "key"), "shared-keys")
-    rows = distinct.join(shared.select("digest").distinct(), "digest").select("digest", "row", "bits", "bands")
-    made = texts.join(rows, "row").select("digest", "bits", "bands", F.arrow_udf(members_of, MEMBER)("text").alias("made"))
-    members = staged(made.select("digest", "bits", "bands", "made.n", "made.fp", "made.shingles"), "members")
-
-    leaders = shared.where("digest <> least").groupBy("digest").agg(F.collect_set("least").alias("of"))
-    mixed = F.array_sort(F.transform("of", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("a"))))
-    alone = staged(leaders.select(F.col("digest").alias("b"), F.transform(mixed, lambda x: x["a"]).alias("of")), "leaders")
+    alike, keyed = simhash_keys(distinct).withColumn("last", F.lit(False)), keys.join(shared, "key").withColumn("last", F.lit(True))
+    shared = staged(keyed.unionByName(alike), "shared-keys")
+    rows = distinct.join(shared.select("digest").distinct(), "digest").select("digest", "row", "fp", "bits", "bands")
+    made = texts.join(rows, "row").select("digest", "fp", "bits", "bands", F.arrow_udf(members_of, MEMBER)("text").alias("made"))
+    members = staged(made.select("digest", "fp", "bits", "bands", "made.n", "made.shingles"), "members")
+
+    ranked = F.struct("last", F.xxhash64("least").alias("h"), F.col("least").alias("a"))
+    leaders = shared.where("digest <> least").groupBy("digest").agg(F.array_sort(F.collect_set(ranked)).alias("of"))
+    alone = staged(leaders.select(F.col("digest").alias("b"), F.array_distinct(F.transform("of", lambda x: x["a"])).alias("of")), "leaders")
     found = []
     for r in range(BANDS.bit_length()):
         stars = alone.select(F.explode(F.slice("of", 1 << r, 1 << r)).alias("a"), "b")
@@ -263,10 +278,10 @@ def keep_first(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     row, sk = free_name(docs, "row"), free_name(docs, "sketch")
     rows = staged(docs.withColumns({sk: F.arrow_udf(sketches, SKETCH)(F.col("text")), row: F.monotonically_increasing_id()}), "numbered-documents")
     mine = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
-    found = rows.groupBy(F.col(f"{sk}.digest").alias("digest")).agg(F.min(mine).alias("least"), F.first(f"{sk}.bands").alias("bands"), F.first(f"{sk}.bits").alias("bits"))
+    found = rows.groupBy(F.col(f"{sk}.digest").alias("digest")).agg(F.min(mine).alias("least"), F.first(f"{sk}.fp").alias("fp"), F.first(f"{sk}.bands").alias("bands"), F.first(f"{sk}.bits").alias("bits"))
     distinct = staged(found, "distinct-sets")
     texts = rows.select(F.col(row).alias("row"), "text")
-    ends = components(links(distinct.select("digest", F.col("least.row").alias("row"), "bands", "bits"), texts, similar)).withColumnRenamed("node", "digest")
+    ends = components(links(distinct.select("digest", F.col("least.row").alias("row"), "fp", "bands", "bits"), texts, similar)).withColumnRenamed("node", "digest")
     named = distinct.select("digest", "least").join(ends, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     kept = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.row").alias("kept_row"))
     gone = rows.select(row).join(kept, F.col(row) == F.col("kept_row"), "left_anti").withColumnRenamed(row, "gone_row")

@@ -174,3 +174,18 @@ def test_a_key_of_sets_that_are_nearly_links_makes_no_row_for_a_pair():
     for _ in found:
         reached |= {x for pair in found if reached & set(pair) for x in pair}
     assert len(found) == 29 and reached == set(range(60, 90))
+
+
+def test_simhash_links_sets_without_a_common_key(spark):
+    """Fingerprints within three bits meet in SimHash's blocks, and exact similarity follows: the third text is near by fingerprint alone."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(f"z{i}" for i in range(400))]
+    made = [near_copies.sketch(near_copies.shingles(t.encode())) for t in texts]
+    fps = [near_copies.simhash.fingerprint(near_copies.shingles(t.encode())) for t in texts[:2]]
+    assert bin(fps[0] ^ fps[1]).count("1") <= 3
+    signed = lambda x: int(np.array([x], np.uint64).view(np.int64)[0])
+    bits = [int(x) for x in made[0][2].view(np.int64)]
+    rows = [(signed(m[0]), i, signed(fp), [i * 100 + k for k in range(near_copies.BANDS)], bits) for i, (m, fp) in enumerate(zip(made, [*fps, fps[0] ^ 1], strict=True))]
+    distinct = spark.createDataFrame(rows, "digest long, row long, fp long, bands array<long>, bits array<long>")
+    found = near_copies.links(distinct, spark.createDataFrame(list(enumerate(texts)), "row long, text string"), 0.8)
+    assert {frozenset(r) for r in found.collect()} == {frozenset(r[0] for r in rows[:2])}

@@ -56,3 +56,9 @@ def test_first_rows_stay(spark):
     assert len(got) == len(set(comp)) and simhash.keep_first(df).columns == df.columns
     assert len({brute_print(r.text) for r in got}) == len(got)
     assert simhash.keep_first(docs(spark, [])).count() == 0
+
+
+def test_sequences_are_read_from_their_buckets(spark):
+    packed = corpus_pipeline.pack_sequences(spark, docs(spark, ["a few words", None, "other words " * 3000]), SF)
+    assert sum(r.length for r in packed.collect()) == sum(r.doc_tokens for r in packed.where("start = 0").collect())
+    assert all("/length=" in f for f in packed.inputFiles()) and packed.inputFiles()
