@@ -11,10 +11,21 @@ from cuelattice.operators import timing as tm
 from cuelattice.session import table
 
 
-def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Bytes of text whose words go to one partition; a task takes about a hundred times as much memory for them.
+TEXT_OF_PART = 1 << 20
+
+
+def parts_for(spark: SparkSession, sf_dir: str) -> int:
+    """Into how many partitions the words of all turns go."""
+    size = table(spark, sf_dir, "conversations").agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return max(spark.sparkContext.defaultParallelism, -(-size // TEXT_OF_PART))
+
+
+def spoken(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
     """Words of 300 ms every 400 ms; a sentence's end makes a pause of two seconds, and turns are 1000 seconds apart."""
     w = Window.partitionBy("conv_id").orderBy("turn", "i").rowsBetween(Window.unboundedPreceding, -1)
-    words = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.posexplode(tx.pieces(F.col("text"))).alias("i", "word"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").repartition(parts, "conv_id")
+    words = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.posexplode(tx.pieces(F.col("text"))).alias("i", "word"))
     told = words.withColumn("sentence", F.coalesce(F.sum(F.col("word").endswith(".").cast("long")).over(w), F.lit(0)))
     start = F.col("turn") * 1_000_000 + F.col("i") * 400 + F.col("sentence") * 2000
     return told.select("conv_id", "turn", "sentence", (F.col("turn") * 100_000 + F.col("i")).alias("idx"), start.alias("start_ms"), (start + 300).alias("end_ms"), "word")
@@ -29,17 +40,19 @@ def speech_of(words: DataFrame) -> DataFrame:
 
 
 def refined_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spoken(spark, sf_dir)
-    return tm.refined_edges(words.select("conv_id", "idx", "start_ms", "end_ms"), speech_of(words), ["conv_id"])
+    parts = parts_for(spark, sf_dir)
+    words = spoken(spark, sf_dir, parts)
+    return tm.refined_edges(words.select("conv_id", "idx", "start_ms", "end_ms"), speech_of(words), ["conv_id"], parts=parts)
 
 
 def extended_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences as cues, every seventh without words, and every eleventh sentence's speech 3 seconds longer."""
-    words = spoken(spark, sf_dir)
+    parts = parts_for(spark, sf_dir)
+    words = spoken(spark, sf_dir, parts)
     cues = words.groupBy("conv_id", "turn", "sentence").agg(F.min("idx").alias("idx"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("turn")
     told = cues.withColumn("word_end_ms", F.when(F.col("sentence") % 7 != 6, F.col("end_ms"))).drop("sentence")
     speech = speech_of(words).withColumn("end_ms", F.col("end_ms") + F.when(F.col("end_ms") % 11 == 0, 1500).otherwise(0))
-    return tm.extended_tails(told, speech, ["conv_id"]).select("conv_id", "idx", "start_ms", "end_ms")
+    return tm.extended_tails(told, speech, ["conv_id"], parts=parts).select("conv_id", "idx", "start_ms", "end_ms")
 
 
 def last_error_before(spark: SparkSession, sf_dir: str) -> DataFrame:

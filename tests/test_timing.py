@@ -97,3 +97,15 @@ def test_as_of_takes_ties_nulls_and_empty_sides(spark):
         assert back == {1: 2, 2: None, 3: 2, 4: None, 5: None, 6: None} and ahead == {1: 1, 2: None, 3: None, 4: None, 5: None, 6: 3}
     assert tm.as_of(left.limit(0), right, ["k"], F.col("t"), F.col("at"), "v").count() == 0
     assert tm.as_of(left, right.limit(0), ["k"], F.col("t"), F.col("at"), "v").where("v IS NULL").count() == 6
+
+
+def test_words_are_dealt_out_by_the_size_of_their_texts(spark, monkeypatch):
+    from cuelattice.queries import timing_queries as tq
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, tq.refined_edges(spark, sf).collect()))
+    monkeypatch.setattr(tq, "TEXT_OF_PART", 1 << 10)
+    parts = tq.parts_for(spark, sf)
+    assert parts > spark.sparkContext.defaultParallelism
+    assert tq.spoken(spark, sf, parts).rdd.getNumPartitions() == parts
+    assert sorted(map(tuple, tq.refined_edges(spark, sf).collect())) == want
